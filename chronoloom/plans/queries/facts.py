@@ -600,21 +600,23 @@ def stage_progress(spark, folder):
 
 
 @query("audit_tail", """
-SELECT lpad(event_id::VARCHAR, 12, '0') AS audit_id, 'o' || user_id AS subject_id
-FROM events WHERE user_id % 5 = 2 ORDER BY ts, 1 LIMIT 500""")
+SELECT run_id, audit_id, subject_id FROM (
+  SELECT 'run' || (user_id % 5) AS run_id, lpad(event_id::VARCHAR, 12, '0') AS audit_id,
+    'o' || user_id AS subject_id, row_number() OVER (PARTITION BY user_id % 5
+      ORDER BY ts, lpad(event_id::VARCHAR, 12, '0')) AS nth FROM events) WHERE nth <= 500""")
 def audit_tail(spark, folder):
-    """The first five hundred entries of a run's log: the limit is the report."""
-    return store.audit_of_run(tables.audit_log(spark, folder), "run2").select(
-        "audit_id", "subject_id")
-
-
-@query("audit_of_subject", """
-SELECT lpad(event_id::VARCHAR, 12, '0') AS audit_id, event_type AS kind FROM events
-WHERE 'o' || user_id = 'o42'""")
-def audit_of_subject(spark, folder):
-    log = tables.audit_log(spark, folder)
-    return store.audit_of_subject(log, "unit", "o42").select(
-        "audit_id", F.when(F.col("action") == "extract", "purchase").otherwise(F.col("action")).alias("kind"))
+    """The first five hundred entries of every run's log: the limit is the report."""
+    return store.audit_of_runs(tables.audit_log(spark, folder)).select(
+        "run_id", "audit_id", "subject_id")
+
+
+@query("audit_by_subject", """
+SELECT 'o' || user_id AS subject_id, count(*) AS entries, min(ts)::VARCHAR AS first_ts,
+  count(*) FILTER (WHERE event_type = 'purchase') AS extractions FROM events GROUP BY 1""")
+def audit_by_subject(spark, folder):
+    return tables.audit_log(spark, folder).groupBy("subject_id").agg(
+        F.count(F.lit(1)).alias("entries"), F.min("ts").cast("string").alias("first_ts"),
+        F.count_if(F.col("action") == "extract").alias("extractions"))
 
 
 @query("case_state", _with(UNITS, ENCOUNTERS) + """
