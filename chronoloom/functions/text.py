@@ -54,8 +54,12 @@ def group(text: Column, pattern: str, index: int = 1, *, case: bool = False) ->
     return F.nullif(F.regexp_extract(text, rx(pattern, case=case), index), F.lit(""))
 
 
+#: Every white-space character, worked out from the character table.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def squeeze(text: Column) -> Column:
@@ -136,6 +140,13 @@ def word_counts(text: Column) -> Column:
     return F.struct(F.size(tokens).alias("alpha"), F.size(good).alias("good"))
 
 
+def counted_words(columns: list[str]) -> Column:
+    """Word counts a table already carries, or else counted from its text."""
+    if "alpha" in columns and "good" in columns:
+        return F.struct(F.col("alpha").alias("alpha"), F.col("good").alias("good"))
+    return word_counts(F.col("text"))
+
+
 def share(good: Column, alpha: Column) -> Column:
     """Word-likeness from two counts; 0 when nothing can be judged."""
     return F.coalesce(good / F.nullif(alpha, F.lit(0)), F.lit(0.0))
@@ -150,8 +161,13 @@ def has_control(text: Column) -> Column:
     return text.rlike(CONTROL)
 
 
+def has_digit(text: Column) -> Column:
+    return text.rlike(r"\p{Nd}")
+
+
 def broken_number(text: Column) -> Column:
-    return hits(text, BROKEN_NUMBER)
+    # The first pattern is cheap and matches wherever the second can.
+    return text.rlike(r"\p{Nd}.\p{Nd}") & hits(text, BROKEN_NUMBER)
 
 
 def matches(text: Column, pattern: str, *, case: bool = False) -> Column:

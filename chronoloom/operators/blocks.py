@@ -48,8 +48,8 @@ def page_label(text: Column, y0: Column, y1: Column, height: Column) -> Column:
             F.lit(rule).alias("rule"), F.regexp_extract(text, tx.rx(p), 1).alias("label")))
         for rule, p in LABEL_PATTERNS
     ])
-    # Labels are short; the length test spares the patterns most body lines in the band.
-    return F.when(in_band & (F.length(text) <= 60), read)
+    # Labels are short and hold a number: two cheap tests spare most lines the patterns.
+    return F.when(in_band & (F.length(text) <= 60) & tx.has_digit(text), read)
 
 
 def block_type(
@@ -60,7 +60,14 @@ def block_type(
     bare = tx.strip(text)
     larger = (body_size > 0) & (font_size >= body_size * heading_ratio)
     top = (body_size > 0) & (font_size >= body_size * TOP_HEADING_RATIO)
-    heading = (larger | upper_dense) & (F.length(bare) <= HEADING_MAX_CHARS)
+    heading = (F.length(bare) <= HEADING_MAX_CHARS) & (larger | upper_dense)
+    # Each pattern runs only on lines that hold what it cannot match without.
+    low = F.lower(bare)
+    stamped = (
+        F.contains(low, F.lit(":")) | F.contains(low, F.lit("fax")) | F.contains(low, F.lit("copie"))
+        | F.contains(low, F.lit("p.")) | bare.rlike("(?iu)re[çc]u")
+    )
+    ends_in_number = F.right(bare, F.lit(1)).rlike(r"[\p{Nd}.,%°/-]")
 
     def kind(name: str, level: Column | None = None, field: Column | None = None) -> Column:
         return F.struct(
@@ -71,13 +78,13 @@ def block_type(
 
     return (
         F.when(bare == "", kind("empty"))
-        .when(tx.hits(bare, EMPTY_FIELD, case=True),
+        .when(F.endswith(bare, F.lit(":")) & tx.hits(bare, EMPTY_FIELD, case=True),
               kind("empty", field=F.regexp_extract(bare, tx.rx(EMPTY_FIELD, case=True), 1)))
-        .when(tx.hits(bare, CHECKBOX, case=True), kind("checkbox"))
-        .when(tx.hits(bare, STAMP), kind("stamp"))
+        .when(F.contains(bare, F.lit("[")) & tx.hits(bare, CHECKBOX, case=True), kind("checkbox"))
+        .when(stamped & tx.hits(bare, STAMP), kind("stamp"))
         .when(tx.hits(bare, SIGNATURE), kind("signature"))
         .when(heading, kind("heading", level=F.when(top, 1).when(larger, 2).otherwise(3)))
-        .when(tx.hits(bare, TABLE_ROW, case=True), kind("table"))
+        .when(ends_in_number & tx.hits(bare, TABLE_ROW, case=True), kind("table"))
         .otherwise(kind("paragraph"))
     )
 
@@ -108,7 +115,7 @@ def from_lines(
         label.alias("_label"),
         block_type(text, F.col("font_size"), F.col("body_size"), dense, heading_ratio)
         .alias("_kind"),
-        tx.broken_number(text).alias("degenerate"),
+        tx.broken_number(text).alias("degenerate"), tx.word_counts(text).alias("_words"),
     )
     stated = F.col("confidence") if "confidence" in lines.columns else F.lit(1.0)
     confidence = F.when(
@@ -131,7 +138,8 @@ def from_lines(
         F.when(~on_label, F.col("_kind.field")).alias("field"),
         F.col("_label.rule").alias("label_rule"),
         F.col("_label.label").alias("label"),
-        "degenerate", "font_size",
+        "degenerate", "font_size", F.col("_words.alpha").alias("alpha"),
+        F.col("_words.good").alias("good"),
         *keep,
     )
 

@@ -48,11 +48,12 @@ def page_signals(blocks: DataFrame, pages: DataFrame, pack: Pack) -> DataFrame:
     declares = [p for c in pack.classes for p in c.get("declares", [])]
     headings = [p for c in pack.classes for p in c.get("headings", [])]
     kind = F.col("type")
-    revised = tx.hits(text, SERIAL_REVISION)
+    revised = F.contains(text, F.lit("(")) & tx.hits(text, SERIAL_REVISION)
+    named = F.contains(F.lower(text), F.lit("formulaire")) & tx.hits(text, SERIAL)
     serial = F.when(revised, F.struct(
         tx.group(text, SERIAL_REVISION, 1).alias("serial"),
         tx.group(text, SERIAL_REVISION, 2).alias("revision"))
-    ).when(tx.hits(text, SERIAL), F.struct(
+    ).when(named, F.struct(
         tx.group(text, SERIAL, 1).alias("serial"), F.lit(None).cast("string").alias("revision")))
     position = F.when((kind == "page_label") & tx.hits(text, LABEL_OF), F.struct(
         tx.group(text, LABEL_OF, 1).cast("int").alias("k"),
@@ -61,9 +62,9 @@ def page_signals(blocks: DataFrame, pages: DataFrame, pack: Pack) -> DataFrame:
     told = blocks.select(
         "case_id", *PAGE, "ord",
         (near_top & tx.hits_any(text, declares)).alias("declares"),
-        (near_top & (kind == "heading") & tx.hits_any(text, headings)).alias("heading"),
+        ((kind == "heading") & near_top & tx.hits_any(text, headings)).alias("heading"),
         serial.alias("form"), position.alias("label_of"), signed.alias("signed"),
-        tx.word_counts(text).alias("w"),
+        tx.counted_words(blocks.columns).alias("w"),
     )
     read = told.groupBy(*PAGE).agg(
         F.bool_or("declares").alias("declares"), F.bool_or("heading").alias("heading"),

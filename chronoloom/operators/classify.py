@@ -128,7 +128,7 @@ def classify(unit_blocks: DataFrame, heads: DataFrame, pack: Pack,
 
 def legibility(unit_blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """Can the unit be read at all; one aggregation over its blocks."""
-    words = tx.word_counts(F.col("text"))
+    words = tx.counted_words(unit_blocks.columns)
     sums = (
         unit_blocks.select("unit_id", F.length("text").alias("chars"), words.alias("w"),
                            "confidence", "degenerate")

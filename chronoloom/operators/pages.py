@@ -79,7 +79,7 @@ def transmissions(blocks: DataFrame) -> DataFrame:
 
 def page_quality(blocks: DataFrame) -> DataFrame:
     """Word-likeness of each page over all its blocks."""
-    counts = tx.word_counts(F.col("text"))
+    counts = tx.counted_words(blocks.columns)
     return (
         blocks.select(*PAGE, counts.alias("w"))
         .groupBy(*PAGE).agg(F.sum("w.good").alias("good"), F.sum("w.alpha").alias("alpha"))
@@ -94,7 +94,7 @@ def choose_tier(attempts: DataFrame, readable: float = READABLE) -> DataFrame:
     cheapest tier whose body text reads as words wins; if none does, the one with most
     blocks, the cheaper of two equals.  Blocks are summed per (page, tier) before a page picks.
     """
-    body = F.when(is_body(F.col("type")), tx.word_counts(F.col("text")))
+    body = F.when(is_body(F.col("type")), tx.counted_words(attempts.columns))
     scored = (
         attempts.select(*PAGE, "tier_rank", body.alias("w"))
         .groupBy(*PAGE, "tier_rank")

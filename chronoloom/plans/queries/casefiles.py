@@ -1 +1,182 @@
-"""Registered queries."""
+"""Whole case files written from orders and line items, described by the real rules.
+
+The SQL knows how the files were written and states the outcome from the tables; it shares no
+rule or pattern with the operators.
+"""
+
+from __future__ import annotations
+
+from dataclasses import fields as parts_of
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ... import rules
+from ...operators import blocks, pages
+from ...sources import tables
+from .. import chronology, manifest
+from .registry import TODAY, query, shared, text_date
+
+PACK = rules.load("cnesst")
+SETTINGS = manifest.Settings(today=TODAY, screen=True)
+
+WRITTEN = """
+p0 AS (
+  SELECT l_orderkey, l_linenumber AS page, min(l_returnflag) AS flag, min(l_linestatus) AS status,
+    CAST(min(l_shipdate) AS DATE) AS day, CAST(min(l_quantity) AS INTEGER) AS qty, min(l_suppkey) AS supp
+  FROM lineitem GROUP BY 1, 2),
+p1 AS (SELECT p0.*, 'c' || o_custkey AS case_id, CAST(o_orderdate AS DATE) AS o_day,
+    status = 'F' OR page = min(page) OVER (PARTITION BY l_orderkey) AS opens
+  FROM p0 JOIN orders ON o_orderkey = l_orderkey),
+p AS (SELECT *, max(CASE WHEN opens THEN page END) OVER (PARTITION BY l_orderkey ORDER BY page
+    ROWS UNBOUNDED PRECEDING) AS first_page FROM p1),
+un AS (
+  SELECT l_orderkey, first_page, any_value(case_id) AS case_id, count(*) AS n_pages, max(page) AS last_page,
+    'unit_' || substr(sha256('o' || l_orderkey || ':' || first_page || '-' || max(page) || '-' || count(*)), 1, 20) AS unit_id,
+    max(CASE WHEN page = first_page THEN flag END) AS flag,
+    max(CASE WHEN page = first_page THEN status END) AS status,
+    max(CASE WHEN page = first_page THEN qty END) AS qty,
+    'Dr Martin ' || arg_min(supp, page) FILTER (WHERE qty % 2 = 0) AS author
+  FROM p GROUP BY 1, 2),
+cu AS (SELECT *, CASE WHEN status = 'O' THEN 'unknown' WHEN flag = 'R' THEN 'rapport_medical'
+    WHEN flag = 'A' THEN 'rapport_imagerie' ELSE 'note_consultation' END AS doc_class FROM un),
+dt AS (
+  SELECT cu.unit_id, p.page, p.day, CASE WHEN p.flag = 'A' THEN 'exam' ELSE 'visit' END AS role, cu.doc_class
+  FROM cu JOIN p ON p.l_orderkey = cu.l_orderkey AND p.first_page = cu.first_page),
+rk AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY CASE
+    WHEN doc_class = 'note_consultation' THEN CASE role WHEN 'visit' THEN 1 ELSE 2 END
+    ELSE CASE role WHEN 'exam' THEN 1 ELSE 2 END END, page) AS rn FROM dt),
+ud AS (SELECT cu.*, rk.day AS row_date, rk.role AS date_role,
+    CASE WHEN cu.doc_class = 'rapport_imagerie' AND rk.role = 'visit' THEN 'inferred' ELSE 'resolved' END AS date_status
+  FROM cu JOIN rk USING (unit_id) WHERE rn = 1)"""
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",".join(parts) + "\n"
+
+
+def _manifest(spark, folder) -> manifest.Manifest:
+    found = shared(spark, folder, "typed_blocks", lambda: blocks.from_lines(
+        tables.written_lines(spark, folder)))
+    built = None
+
+    def make():
+        nonlocal built
+        if built is None:
+            built = manifest.build(found, tables.pages_of(found), PACK, SETTINGS)
+        return built
+
+    return manifest.Manifest(**{
+        part.name: shared(spark, folder, f"case_{part.name}", lambda n=part.name: getattr(make(), n))
+        for part in parts_of(manifest.Manifest)})
+
+
+def _chronology(spark, folder) -> chronology.Chronology:
+    told = _manifest(spark, folder)
+    found = shared(spark, folder, "typed_blocks", lambda: None)
+    built = None
+
+    def make():
+        nonlocal built
+        if built is None:
+            labels = pages.confirm_labels(pages.label_candidates(found))
+            built = chronology.build(told, labels, PACK, SETTINGS)
+        return built
+
+    return chronology.Chronology(**{
+        part.name: shared(spark, folder, f"chron_{part.name}", lambda n=part.name: getattr(make(), n))
+        for part in parts_of(chronology.Chronology)})
+
+
+@query("casefile_units", _with(WRITTEN) + """
+SELECT unit_id, case_id, 'o' || l_orderkey AS bundle_id, first_page, n_pages,
+  n_pages = last_page - first_page + 1 AS contiguous, doc_class,
+  CASE WHEN status = 'O' THEN 0.0 WHEN flag = 'R' THEN 0.9 WHEN flag = 'A' THEN 0.81 ELSE 0.85 END::DOUBLE
+    AS class_confidence,
+  CASE WHEN flag = 'R' AND status = 'F' THEN 'serial' ELSE 'zones' END AS class_source,
+  CASE WHEN flag = 'R' AND status = 'F' THEN '1918' END AS form_serial, author,
+  row_date::VARCHAR AS row_date, date_status, date_role, 'legible' AS legibility,
+  CAST(NULL AS VARCHAR) AS excluded_by, 'cnesst' AS regime FROM ud""")
+def casefile_units(spark, folder) -> DataFrame:
+    return _manifest(spark, folder).units.select(
+        "unit_id", "case_id", "bundle_id", "first_page", "n_pages", "contiguous", "doc_class",
+        "class_confidence", "class_source", "form_serial", "author", text_date("row_date"),
+        "date_status", "date_role", "legibility", "excluded_by", "regime")
+
+
+@query("casefile_dates", _with(WRITTEN) + """
+SELECT unit_id, p.page AS pdf_index, CASE p.flag WHEN 'A' THEN 'exam' ELSE 'visit' END AS role,
+  p.day::VARCHAR AS day, CASE p.flag WHEN 'R' THEN 6 ELSE 18 + CASE p.flag WHEN 'N' THEN 1 ELSE 0 END END AS start_at,
+  CASE p.flag WHEN 'R' THEN 0 ELSE 1 END AS kind
+FROM cu JOIN p ON p.l_orderkey = cu.l_orderkey AND p.first_page = cu.first_page
+UNION ALL
+SELECT unit_id, p.page, 'event', p.o_day::VARCHAR, 21, 1
+FROM cu JOIN p ON p.l_orderkey = cu.l_orderkey AND p.first_page = cu.first_page WHERE p.qty % 5 = 0""")
+def casefile_dates(spark, folder) -> DataFrame:
+    """Every date in every line: place, reading and role."""
+    return _manifest(spark, folder).facts.select(
+        "unit_id", "pdf_index", "role", F.array_join(
+            F.transform("readings", lambda d: d.cast("string")), ",").alias("day"),
+        F.col("start").alias("start_at"), "kind")
+
+
+@query("casefile_fields", _with(WRITTEN, """
+st AS (SELECT cu.unit_id, p.page, p.qty % 4 AS s, count(*) OVER (PARTITION BY cu.unit_id, p.qty % 4) AS times
+  FROM cu JOIN p ON p.l_orderkey = cu.l_orderkey AND p.first_page = cu.first_page),
+tr AS (SELECT unit_id, arg_min(s, page) AS s FROM st WHERE s IN (0, 1) AND times = 1 GROUP BY 1),
+ic AS (SELECT unit_id FROM st WHERE s = 2 AND times = 1)""") + """
+SELECT unit_id, '4a' AS stage, 'consolidation' AS field,
+  CASE qty % 3 WHEN 0 THEN 'oui' WHEN 1 THEN 'non' ELSE 'trop_tot' END AS value
+FROM cu WHERE flag = 'R' AND status = 'F'
+UNION ALL SELECT unit_id, '4c', f, 'absent' FROM cu,
+  (VALUES ('confounder'), ('claimed_but_unrated'), ('procured_by')) v(f)
+UNION ALL SELECT unit_id, '4c', 'evidence_weight', 'unweighted' FROM cu
+UNION ALL SELECT cu.unit_id, '4c', 'trajectory', CASE tr.s
+    WHEN 0 THEN 'Le patient note une amélioration de la douleur lombaire.'
+    WHEN 1 THEN 'Tableau clinique stationnaire depuis la dernière évaluation médicale.'
+    ELSE 'absent' END FROM cu LEFT JOIN tr USING (unit_id)
+UNION ALL SELECT unit_id, '4c', 'trajectory.enum', CASE s WHEN 0 THEN 'amelioration' ELSE 'stable' END FROM tr
+UNION ALL SELECT cu.unit_id, '4c', 'intercurrent_event', CASE WHEN ic.unit_id IS NULL THEN 'absent'
+    ELSE 'Une rechute est survenue pendant le retour progressif au' END FROM cu LEFT JOIN ic USING (unit_id)
+UNION ALL SELECT unit_id, '4c', 'intercurrent_event.cont1', 'travail cette semaine.' FROM ic""")
+def casefile_fields(spark, folder) -> DataFrame:
+    return _chronology(spark, folder).records.select("unit_id", "stage", "field", "value")
+
+
+@query("casefile_rows", _with(WRITTEN, """
+ev AS (SELECT DISTINCT cu.case_id, cu.unit_id, p.o_day AS d
+  FROM cu JOIN p ON p.l_orderkey = cu.l_orderkey AND p.first_page = cu.first_page WHERE p.qty % 5 = 0),
+at0 AS (
+  SELECT ud.unit_id, coalesce(own.d, pr.d) AS claim_event, CASE WHEN own.d IS NOT NULL THEN 'claim_event.declared'
+    WHEN c.case_id IS NULL THEN 'claim_event.none_in_file' WHEN pr.d IS NULL THEN 'claim_event.precedes_all'
+    ELSE 'claim_event.most_recent_prior' END AS claim_rule
+  FROM ud LEFT JOIN (SELECT unit_id, min(d) AS d FROM ev GROUP BY 1) own USING (unit_id)
+  LEFT JOIN (SELECT DISTINCT case_id FROM ev) c USING (case_id)
+  LEFT JOIN (SELECT ud.unit_id, max(e.d) AS d FROM ud JOIN (SELECT DISTINCT case_id, d FROM ev) e
+    ON e.case_id = ud.case_id AND e.d <= ud.row_date GROUP BY 1) pr USING (unit_id)),
+bk AS (SELECT ud.*, at0.claim_event, at0.claim_rule, 'row_' || substr(sha256(case_id || '|' || CASE
+    WHEN doc_class = 'rapport_imagerie' THEN '["study","' || row_date || '","' || coalesce(author, '') || '","' || doc_class || '"]'
+    ELSE '["encounter","' || row_date || '","' || coalesce(author, '') || '"]' END), 1, 20) AS row_id,
+    CASE doc_class WHEN 'rapport_imagerie' THEN 'Rapport d''imagerie' WHEN 'rapport_medical' THEN 'Rapport médical'
+      WHEN 'note_consultation' THEN 'Note de consultation' ELSE 'Document non classé' END AS label,
+    'o' || l_orderkey || lpad(first_page::VARCHAR, 5, '0') AS place FROM ud JOIN at0 USING (unit_id))""") + """
+SELECT row_id, any_value(case_id) AS case_id, any_value(row_date)::VARCHAR AS row_date,
+  arg_min(date_status, ('o' || l_orderkey, first_page)) AS date_status,
+  string_agg(DISTINCT label, ' + ' ORDER BY label) || coalesce(' — ' || any_value(author), '') AS title,
+  count(*) AS n_units, CASE WHEN min(claim_event) = max(claim_event) THEN min(claim_event)::VARCHAR END AS claim_event,
+  CASE WHEN min(claim_event) = max(claim_event) THEN arg_min(claim_rule, ('o' || l_orderkey, first_page))
+      FILTER (WHERE claim_event IS NOT NULL)
+    WHEN min(claim_event) IS NOT NULL THEN 'claim_event.units_disagree'
+    ELSE arg_min(claim_rule, ('o' || l_orderkey, first_page)) END AS claim_rule
+FROM bk GROUP BY row_id""")
+def casefile_rows(spark, folder) -> DataFrame:
+    return _chronology(spark, folder).rows.select(
+        "row_id", "case_id", text_date("row_date"), "date_status", "title", "n_units",
+        text_date("claim_event"), "claim_rule")
+
+
+@query("casefile_bullets")
+def casefile_bullets(spark, folder) -> DataFrame:
+    """The printed lines of all rows, numbered; their parts are checked one by one elsewhere."""
+    return _chronology(spark, folder).bullets.select(
+        "row_id", "pos", "text", "confidence", "rule", "block_id", "span_start", "span_end")

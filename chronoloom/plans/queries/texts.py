@@ -328,7 +328,7 @@ def tier_routing(spark, folder):
         lambda t: t.rlike(r"\p{L}"))
     clear = F.concat_ws(" ", F.transform(real, lambda t: F.lit("mot")))
     second = doc_blocks(spark, folder).filter(F.col("ord") % 4 != 3).withColumns({
-        "tier_rank": F.lit(1), "text": clear})
+        "tier_rank": F.lit(1), "text": clear, "good": F.col("alpha")})
     chosen = pages.choose_tier(first.unionByName(second))
     return chosen.groupBy("bundle_id", "pdf_index", F.col("tier_rank").alias("tier")).agg(
         F.count(F.lit(1)).alias("n"))

@@ -48,7 +48,7 @@ BLOCKS = (
     "case_id string, bundle_id string, pdf_index int, ord int, block_id string, type string,"
     " text string, x0 double, y0 double, x1 double, y1 double, page_height double,"
     " source string, confidence double, level int, field string, label_rule string,"
-    " label string, degenerate boolean, font_size double"
+    " label string, degenerate boolean, font_size double, alpha int, good int"
 )
 DATE_FACTS = (
     "case_id string, unit_id string, block_id string, pdf_index int, ord int, start int,"

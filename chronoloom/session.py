@@ -28,6 +28,8 @@ def local_session(cores: str | int = "*", app: str = "chronoloom") -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("CHRONOLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", "8")
+        # Small inputs are dense in work per byte: keep all local cores busy.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

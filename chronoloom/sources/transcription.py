@@ -28,6 +28,7 @@ def to_blocks(payloads: DataFrame) -> DataFrame:
     legible = F.coalesce("line.legible", F.lit(True))
     step = F.col("height") / F.greatest("n", F.lit(1))
     top = F.col("ord") * step
+    words = tx.word_counts(text)
     kind = F.coalesce("line.kind", F.lit("paragraph"))
     return lines.filter(text != "").select(
         "case_id", "bundle_id", "pdf_index", "ord",
@@ -42,4 +43,5 @@ def to_blocks(payloads: DataFrame) -> DataFrame:
         F.when(legible & (kind == "heading"), 2).cast("int").alias("level"),
         F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("label_rule"),
         F.lit(None).cast("string").alias("label"), F.lit(False).alias("degenerate"),
-        F.lit(None).cast("double").alias("font_size"))
+        F.lit(None).cast("double").alias("font_size"), words["alpha"].alias("alpha"),
+        words["good"].alias("good"))
