@@ -107,7 +107,7 @@ def date_role(text: Column, start: Column, pack: Pack) -> Column:
             found.append(F.when(tx.hits_any(scope, cues), F.struct(
                 F.length(prefix).alias("at"), F.lit(-place).alias("place"),
                 F.lit(role).alias("role"))))
-        return F.array_max(F.array(*found))["role"]
+        return F.array_max(F.array(*found))["role"] if found else F.lit(None).cast("string")
 
     left = F.substring(text, F.lit(1), start)
     return F.coalesce(nearest(left), nearest(text), F.lit("unknown"))
@@ -151,13 +151,13 @@ def select_row_dates(facts: DataFrame, units: DataFrame, pack: Pack) -> DataFram
     """
     by_class = pack.priorities
     fallback = by_class.get("unknown", [])
-    table = F.create_map(*[
-        x for name, roles in by_class.items()
-        for x in (F.lit(name), F.array(*[F.lit(r) for r in roles]).cast("array<string>"))
-    ])
-    known = F.col("doc_class").isin(*by_class)
-    roles = F.when(known, F.element_at(table, F.col("doc_class"))).otherwise(
-        F.array(*[F.lit(r) for r in fallback]).cast("array<string>"))
+    roles = F.array(*[F.lit(r) for r in fallback]).cast("array<string>")
+    if by_class:
+        table = F.create_map(*[
+            x for name, ranked in by_class.items()
+            for x in (F.lit(name), F.array(*[F.lit(r) for r in ranked]).cast("array<string>"))
+        ])
+        roles = F.coalesce(F.try_element_at(table, F.col("doc_class")), roles)
     scoped = units.select("unit_id", "doc_class", "legibility", roles.alias("priority"))
 
     role = F.col("role")
