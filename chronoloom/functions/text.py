@@ -201,7 +201,7 @@ def sentence_bounds(text: Column, at: Column) -> Column:
     """struct(start, end) of the sentence around offset ``at``; the closing dot is inside."""
     before = F.substring(text, F.lit(1), at)
     after = F.substring(text, at + 1, F.length(text))
-    start = at - F.length(F.regexp_extract(before, r"[^.\n]*$", 0))
+    start = at - F.length(F.regexp_extract(before, r"[^.\n]*\z", 0))
     run = F.length(F.regexp_extract(after, r"^[^.\n]*", 0))
     end = F.least(at + run + 1, F.length(text))
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
@@ -212,7 +212,7 @@ def sentence_at(text: Column, at: Column) -> Column:
     before = F.substring(text, F.lit(1), at)
     after = F.substring(text, at + 1, F.length(text))
     return strip(F.concat(
-        F.regexp_extract(before, r"[^.\n]*$", 0), F.regexp_extract(after, r"^[^.\n]*", 0)
+        F.regexp_extract(before, r"[^.\n]*\z", 0), F.regexp_extract(after, r"^[^.\n]*", 0)
     ))
 
 

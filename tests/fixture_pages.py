@@ -198,14 +198,16 @@ def _draw(case, bundle, page, label, fax, lines):
     ]
 
 
-def tables(spark, fixture):
-    """(lines, pages) of one fixture."""
+def tables(spark, *fixtures):
+    """(lines, pages) of the fixtures: each is a case, each folder a bundle ``case/folder``."""
     from chronoloom import schemas
 
     lines, pages = [], []
-    for folder, sheets in PAGES[fixture].items():
-        for number, (label, fax, text) in enumerate(sheets, 1):
-            pages.append((fixture, folder, number, WIDTH, HEIGHT))
-            lines += _draw(fixture, folder, number, label, fax, text)
+    for fixture in fixtures:
+        for folder, sheets in PAGES[fixture].items():
+            bundle = f"{fixture}/{folder}"
+            for number, (label, fax, text) in enumerate(sheets, 1):
+                pages.append((fixture, bundle, number, WIDTH, HEIGHT))
+                lines += _draw(fixture, bundle, number, label, fax, text)
     return (
         spark.createDataFrame(lines, schemas.LINES), spark.createDataFrame(pages, schemas.PAGES))
