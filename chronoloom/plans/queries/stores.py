@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ... import rules
 from ...operators import blocks, dates, templates
-from ...session import shared_folder
+from ...session import shared_folder, spread
 from ...sinks import store as sink
 from ...sources import files, gold, ocr, store, tables, transcription
 from . import facts
@@ -174,25 +174,81 @@ def units_with_dates(spark, folder):
     return nested.select("unit_id", F.coalesce(F.array_join(days, ","), F.lit("")).alias("days"))
 
 
+@query("correction_append", facts._with(facts.LOG) + """
+SELECT subject_id, field, count(*) AS n, max(created_at)::VARCHAR AS last_at FROM lg GROUP BY 1, 2""")
+def correction_append(spark, folder):
+    """Corrections appended to the log day by day, then read back."""
+    root = _scratch(spark, "log")
+    log = tables.event_log(spark, folder)
+    sink.append_corrections(log.filter("created_at < '2024-01-15'"), root)
+    sink.append_corrections(log.filter("created_at >= '2024-01-15'"), root)
+    return spark.read.parquet(f"{root}/corrections").groupBy("subject_id", "field").agg(
+        F.count(F.lit(1)).alias("n"), F.max("created_at").cast("string").alias("last_at"))
+
+
+@query("unit_explanations", facts._with(facts.UNITS, facts.FACTS, facts.LOG) + """
+SELECT u.unit_id, coalesce(d.n, 0) AS n_dates, coalesce(d.n, 0) AS n_records, coalesce(c.n, 0) AS n_corrections,
+  coalesce(c.n, 0) AS n_audit, 'Dossier ' || u.bundle_id AS folder_label
+FROM u LEFT JOIN (SELECT unit_id, count(*) AS n FROM f GROUP BY 1) d USING (unit_id)
+LEFT JOIN (SELECT subject_id AS unit_id, count(*) AS n FROM lg GROUP BY 1) c USING (unit_id)""")
+def unit_explanations(spark, folder):
+    """Everything known of every unit, nested, and summed up."""
+    from ...operators import report
+
+    units, found = tables.order_units(spark, folder), tables.item_facts(spark, folder)
+    records = found.select(
+        "unit_id", F.lit("4a").alias("stage"), F.col("role").alias("field"), F.col("raw").alias("value"),
+        "confidence", F.lit(False).alias("derived"), F.lit("r").alias("rule"), F.lit("KEY").alias("epistemic_tag"),
+        "block_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+    folders = units.select("bundle_id").distinct().withColumn(
+        "folder_label", F.concat(F.lit("Dossier "), F.col("bundle_id")))
+    told = report.explain_units(units, found, records, tables.event_log(spark, folder),
+                                tables.audit_log(spark, folder), folders)
+    return told.select("unit_id", *[
+        F.coalesce(F.size(c), F.lit(0)).cast("long").alias(n) for c, n in (
+            ("dates_found", "n_dates"), ("records", "n_records"), ("corrections", "n_corrections"),
+            ("audit", "n_audit"))], "folder_label")
+
+
+@query("rejoined_units")
+def rejoined_units(spark, folder):
+    """Pages of an order as interrupted documents, joined again; checked by brute force in the tests."""
+    from ...operators import units
+
+    page = tables.table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_quantity").cast("int").alias("q"), F.min("l_suppkey").cast("int").alias("s"))
+    label = F.when(F.col("q") % 4 != 3, F.struct((F.col("q") % 3 + 1).alias("k"), F.lit(3).alias("n")))
+    single = page.select(
+        F.lit("c").alias("case_id"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("bundle_id"),
+        F.col("l_linenumber").alias("pdf_index"), F.col("l_linenumber").alias("group_start"),
+        label.alias("label_of"), F.lit(None).cast("string").alias("serial"),
+        F.when(F.col("s") % 3 == 0, (F.col("s") % 5).cast("string")).alias("author"))
+    return units.unit_spans(units.rejoin(units.page_groups(single))).select(
+        "unit_id", "bundle_id", "first_page", "n_pages", "contiguous")
+
+
 # --- page geometry, OCR words and transcriptions --------------------------------------------
 
 
+def _reading_place():
+    return (F.col("l_linenumber") * 100000 + F.col("l_partkey")) * 64 + F.col("l_quantity")
+
+
 @query("body_size", """
-WITH c AS (SELECT l_orderkey, l_quantity AS size, count(*) AS n, min(l_linenumber * 100000 + l_partkey) AS first
+WITH c AS (SELECT l_orderkey, l_quantity AS size, count(*) AS n, min((l_linenumber * 100000 + l_partkey) * 64 + l_quantity) AS first
   FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
   ORDER BY n DESC, first) AS rn FROM c) WHERE rn = 1""")
 def body_size(spark, folder):
     """Line items as characters of a page: the size most of them have, the first seen on a tie."""
     chars = tables.table(spark, folder, "lineitem").select(
-        "l_orderkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"),
-        F.col("l_quantity").alias("size"))
+        "l_orderkey", _reading_place().alias("pos"), F.col("l_quantity").alias("size"))
     return blocks.modal_size(chars, ["l_orderkey"])
 
 
 @query("line_sizes", """
 WITH b AS (SELECT o_orderkey, 0.0 AS x0, 25.5 AS x1 FROM orders),
-c AS (SELECT o_orderkey, l_tax AS size, count(*) AS n, min(l_linenumber * 100000 + l_partkey) AS first
+c AS (SELECT o_orderkey, l_tax AS size, count(*) AS n, min((l_linenumber * 100000 + l_partkey) * 64 + l_quantity) AS first
   FROM b JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity BETWEEN x0 AND x1 GROUP BY 1, 2),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC, first) AS rn FROM c) WHERE rn = 1)
 SELECT 'o' || o_orderkey AS bundle_id, coalesce(size, 0.0) AS font_size FROM b LEFT JOIN r USING (o_orderkey)""")
@@ -200,7 +256,7 @@ def line_sizes(spark, folder):
     """Font size of a box: the modal size of the characters whose centre lies in it."""
     chars = tables.table(spark, folder, "lineitem").select(
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("bundle_id"), F.lit(1).alias("pdf_index"),
-        (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), F.col("l_quantity").alias("cx"),
+        _reading_place().alias("pos"), F.col("l_quantity").alias("cx"),
         F.lit(5.0).alias("cy"), F.col("l_tax").alias("size"))
     boxes = tables.table(spark, folder, "orders").select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("bundle_id"), F.lit(1).alias("pdf_index"),
@@ -392,7 +448,10 @@ def role_resolution(spark, folder):
     ).otherwise(
         F.when(flag == "R", F.concat(day, F.lit(" (date de naissance)")))
         .when(flag == "A", F.concat(F.lit("imprimée le "), day)).otherwise(F.concat(F.lit("Total "), day)))
-    lines = tables.table(spark, folder, "lineitem").select(
+    items = spread(tables.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag",
+        "l_linestatus"))
+    lines = items.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"), day.alias("day"))
     at = F.length(F.element_at(F.split("text", r"[0-9]{4}-", 2), 1))
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",

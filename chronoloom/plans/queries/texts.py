@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -709,8 +710,9 @@ UNION ALL SELECT un.unit_id, 'evidence_weight', CASE WHEN k.unit_id IS NULL THEN
   FROM un LEFT JOIN (SELECT * FROM hit WHERE place = 2) k USING (unit_id) WHERE k.unit_id IS NULL OR val = 0""")
 def cue_fields(spark, folder):
     told = doc_spans(spark, folder).withColumn("legibility", F.lit("legible"))
-    read = cues.read_fields(unit_blocks(spark, folder), told, PROBE)
-    return read.filter(~F.col("field").rlike(r"^abbreviation|\.cont")).select(
+    fields_only = replace(PROBE, sections=PROBE.sections | {"abbreviations": {}})
+    read = cues.read_fields(unit_blocks(spark, folder), told, fields_only)
+    return read.filter(~F.col("field").rlike(r"\.cont")).select(
         "unit_id", "field", "value")
 
 

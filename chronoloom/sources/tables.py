@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 PAGE_LINES = 4
 PAGE_HEIGHT = 792.0
 CLASS_OF_STATUS = {"F": "rapport_medical", "O": "note_consultation", "P": "rapport_imagerie"}
@@ -28,7 +30,7 @@ def _pick(values: dict, column):
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document: case = source, bundle = document, four lines to a page."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "source", "text"))
     each = docs.select(
         F.col("source").alias("case_id"), F.col("doc_id").cast("string").alias("bundle_id"),
         F.posexplode(F.split("text", "\n", -1)).alias("nth", "text"))
