@@ -29,7 +29,7 @@ u AS (
 FACTS = """
 f AS (
   SELECT 'o'||l_orderkey AS unit_id, l_linenumber AS pdf_index, l_partkey AS start_at,
-    l_suppkey AS ord,
+    CAST(l_suppkey * 64 + l_quantity AS INTEGER) AS ord,
     CASE WHEN l_linenumber = 6 THEN 'unknown' WHEN l_returnflag = 'R' THEN 'event'
       WHEN l_returnflag = 'A' THEN 'exam' ELSE 'report' END AS role,
     CAST(l_shipdate AS DATE) AS d, l_linenumber = 7 AS ambiguous, l_linenumber = 5 AS inferred
@@ -140,7 +140,7 @@ bk AS (SELECT *, {bucket} FROM e)""".format(bucket=BUCKET)
 BULLETS = """
 cand AS (
   SELECT bk.row_id, bk.bundle_id, bk.first_page, bk.unit_id, l_linenumber AS pdf_index,
-    l_suppkey AS ord, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS block_id,
+    CAST(l_suppkey * 64 + l_quantity AS INTEGER) AS ord, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS block_id,
     l_returnflag || ' ' || l_linestatus || ' ' || CAST(l_quantity AS INTEGER) AS text,
     round(1 - l_discount * 4, 2) AS confidence
   FROM lineitem JOIN bk ON bk.unit_id = 'o' || l_orderkey),

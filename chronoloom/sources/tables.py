@@ -89,7 +89,7 @@ def item_facts(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("case_id"),
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("unit_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("block_id"),
-        F.col("l_linenumber").alias("pdf_index"), F.col("l_suppkey").cast("int").alias("ord"),
+        F.col("l_linenumber").alias("pdf_index"), (F.col("l_suppkey") * 64 + F.col("l_quantity")).cast("int").alias("ord"),
         F.col("l_partkey").cast("int").alias("start"), (F.col("l_partkey") + 10).cast("int").alias("end"),
         F.lit(1).alias("kind"),
         F.when(F.col("l_linenumber") == 6, F.lit("unknown")).otherwise(
@@ -103,7 +103,7 @@ def item_bullets(spark: SparkSession, folder: str, units: DataFrame) -> DataFram
     items = table(spark, folder, "lineitem").select(
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("unit_id"),
         F.lit(1).alias("kind"), F.lit("").alias("field_key"),
-        F.col("l_linenumber").alias("pdf_index"), F.col("l_suppkey").cast("int").alias("ord"),
+        F.col("l_linenumber").alias("pdf_index"), (F.col("l_suppkey") * 64 + F.col("l_quantity")).cast("int").alias("ord"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("block_id"),
         F.concat_ws(" ", "l_returnflag", "l_linestatus",
                     F.col("l_quantity").cast("int").cast("string")).alias("text"),
