@@ -14,10 +14,9 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINES = (
-    "row_date_selection", "claim_attribution", "chronology", "encounter_merge", "bullet_union",
-    "row_confidence", "run_delta", "corrections_overlay", "markdown_export", "manifest_score",
-    "product_metrics", "block_types", "page_groups", "classification", "legibility", "screening",
-    "section_selection", "subdivide", "cue_fields", "duplicate_report", "exact_duplicates",
+    "row_date_selection", "claim_attribution", "chronology", "bullet_union", "run_delta",
+    "corrections_overlay", "markdown_export", "manifest_score", "product_metrics", "block_types",
+    "page_groups", "classification", "section_selection", "cue_fields", "duplicate_report",
     "words_to_lines", "date_find", "role_resolution", "table_rows", "casefile_units",
 )
 

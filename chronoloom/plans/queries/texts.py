@@ -15,8 +15,8 @@ from ...operators import (
 from ...operators.matching import document_hits
 from ...sources import tables
 from .probe import PROBE, REGIMES
+from .registry import ORACLES, shared
 from .registry import query as plain_query
-from .registry import shared
 
 # --- SQL shared by the statements below -----------------------------------------------------
 
@@ -522,7 +522,8 @@ def section_selection(spark, folder):
         "block_id", "unit_id", "kept", "reason")
 
 
-@query("dropped_lines")
+@query("dropped_lines", "SELECT unit_id, reason, count(*) AS n FROM (" + ORACLES["section_selection"]
+       + ") WHERE NOT kept GROUP BY 1, 2")
 def dropped_lines(spark, folder):
     return selection.dropped_summary(selection.select_lines(unit_blocks(spark, folder), PROBE))
 

@@ -38,6 +38,13 @@ def local_session(cores: str | int = "*", app: str = "chronoloom") -> SparkSessi
     return spark
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """The same settings on a session that is already there, as on a cluster."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a scratch folder only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
