@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, quality, tokencount
+from . import langid, packing, quality, tokencount
 from .common import table
 
 #: A public tokenizer file; the library that counts as its reference is installed beside it.
@@ -43,3 +44,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 @query("op6_token_counts")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), tokenizer_path())
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset", "loss_tokens")

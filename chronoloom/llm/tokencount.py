@@ -2,8 +2,8 @@
 
 The tokenizer lower-cases a text, cuts it into words and merges each word's bytes by rank.  Of a
 word's prefix only this matters for what follows: its longest suffix that begins a token, and at
-each position in it the last token of the prefix up to there and how many tokens that prefix
-has.  (The last token of a prefix is the one token ending there that stays apart from the last
+each position where a token may have begun the last token of the prefix up to there and how many
+tokens that prefix has.  (The last token of a prefix is the one token ending there that stays apart from the last
 token before it when the two are encoded together; that is one check on a pair.)  Those facts are
 the states; reading a byte leads to the next state and emits the change of the token count, and a
 word's last byte leads back to the ground state.  States are made when a text first needs them.
@@ -139,7 +139,7 @@ class Transducer:
     def clear(self) -> None:
         self.columns = np.full(512, -1, np.int32)
         self.by_column: list[int] = [-1]
-        self.states = [("", (None,), (0,))]
+        self.states = [("", ((0, None, 0),))]
         self.place = {self.states[0]: 0}
         self.table = np.full((1024, 64), -1, np.int32)
         self.table[:, 0] = np.arange(1024) << _SHIFT | _ZERO
@@ -157,6 +157,8 @@ class Transducer:
     def stays_apart(self, a: str, b: str) -> bool:
         known = self.apart.get((a, b))
         if known is None:
+            if (a, b) in self.ranks:
+                return False
             if len(self.apart) > 400_000:
                 self.apart.clear()
             known = self.apart[a, b] = self.merged(a + b) == [a, b]
@@ -164,20 +166,21 @@ class Transducer:
 
     def read(self, state: tuple, symbol: int) -> tuple[tuple, int]:
         """The state after ``symbol``, and the change of the token count."""
-        suffix, lasts, counts = state
+        suffix, starts = state
         seen = suffix + chr(symbol)
-        for i in range(len(seen)):
-            token, before = seen[i:], lasts[i]
+        for i, before, count in starts:
+            token = seen[i:]
             if token in self.tokens and (before is None or self.stays_apart(before, token)):
                 break
-        change = counts[i] + 1
+        change = count + 1
         if symbol >= 256:
             return self.states[0], change
-        lasts, counts = (*lasts, token), (*(c - change for c in counts), 0)
-        while seen and seen not in self.begins:
-            seen = seen[1:]
-        keep = len(seen) + 1
-        return (seen, lasts[-keep:], counts[-keep:]), change
+        cut = 0
+        while cut < len(seen) and seen[cut:] not in self.begins:
+            cut += 1
+        kept = [(i - cut, before, count - change) for i, before, count in starts
+                if i >= cut and seen[i:] in self.begins]
+        return (seen[cut:], (*kept, (len(seen) - cut, token, 0))), change
 
     def column(self, symbols: np.ndarray) -> np.ndarray:
         new = np.unique(symbols[self.columns[symbols] < 0]) if len(symbols) else symbols
