@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, tokencount
+from . import htmltext, langid, packing, quality, tokencount
 from .common import table
 
 #: A public tokenizer file; the library that counts as its reference is installed beside it.
@@ -52,3 +52,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"),
         "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extract(table(spark, folder, "pages"), keep=("url",))
