@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, packing, quality, tokencount
+from . import htmltext, langid, packing, pii, quality, tokencount
 from .common import table
 
 #: A public tokenizer file; the library that counts as its reference is installed beside it.
@@ -57,3 +57,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_html_text")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.extract(table(spark, folder, "pages"), keep=("url",))
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.detect(table(spark, folder, "documents"))
+
+    def of_kind(spans: str, kind: str):
+        return F.filter(spans, lambda x: x["kind"] == kind)
+
+    def joined(spans: str):
+        # The operator gives spans by kind and start.
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(
+            ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id", *(F.size(of_kind("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"))
