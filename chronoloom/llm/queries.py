@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, packing, pii, quality, tokencount
+from . import htmltext, langid, neardup, packing, pii, quality, tokencount
 from .common import table
 
 #: A public tokenizer file; the library that counts as its reference is installed beside it.
@@ -75,3 +75,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *(F.size(of_kind("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS),
         F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
         joined("spans").alias("spans"))
+
+
+@query("op1_near_duplicates")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(table(spark, folder, "documents"))
