@@ -18,10 +18,12 @@ most ``chars_per_doc`` characters each; scoring covers every byte of every text.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +116,10 @@ class Handle:
     def __init__(self, broadcast, id_: str):
         self.broadcast, self.id = broadcast, id_
 
+    @staticmethod
+    def of(docs: DataFrame, model: Model) -> Handle:
+        return Handle(docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex)
+
     @property
     def value(self) -> Model:
         return self.broadcast.value
@@ -183,32 +189,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     a long text does not saturate.  A text that is null or has no letter is ``und`` with score 0,
     as is every text where no language was learned.  Equal rows stay equal rows.
     """
-    spark = docs.sparkSession
-    handle = Handle(spark.sparkContext.broadcast(model), f"{spark.sparkContext.applicationId}"
-                    f"/{id(model)}/{np.random.default_rng().integers(1 << 62)}")
+    handle = Handle.of(docs, model)
 
     def score(batches):
-        languages, order, step, bits = _tables(handle)
         for batch in pieces(batches, "text"):
-            data, at = as_bytes(pa.compute.utf8_lower(batch.column("text")))
-            letter = batch.column("letter").to_numpy(zero_copy_only=False).astype(bool)
-            size = np.diff(at)
-            if languages:
-                total = code_lengths(data, at, order, step, bits)
-                best = total.argmin(1)
-                scale = np.minimum(1, 64 / np.maximum(size, 1))[:, None]
-                p = np.exp2((total.min(1, keepdims=True) - total) * scale)
-                share = 1 / p.sum(1)
-                rate = total.min(1) / np.maximum(size, 1)
-                names = np.array(languages, object)[best]
-            else:
-                names, share, rate = np.full(len(size), NO_LETTER, object), 0.0 * size, 0.0 * size
-                letter = letter & False
+            names, share, rate = _judged(handle, batch.column("text"), batch.column("letter"))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
-                "lang_pred": pa.array(np.where(letter, names, NO_LETTER), pa.string()),
-                "score": pa.array(np.where(letter, share, 0.0)),
-                "bits_per_byte": pa.array(np.where(letter, rate, 0.0))})
+                "doc_id": batch.column("doc_id"), "lang_pred": pa.array(names, pa.string()),
+                "score": pa.array(share), "bits_per_byte": pa.array(rate)})
 
     slim = texts(docs).withColumn("letter", F.col("text").rlike("\\p{L}"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -216,6 +204,40 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         score, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
+def _judged(handle: Handle, text: pa.Array, letter: pa.Array) -> tuple:
+    """Names, scores and bits per byte of a batch of texts."""
+    languages, order, step, bits = _tables(handle)
+    data, at = as_bytes(pa.compute.utf8_lower(text))
+    letter = letter.to_numpy(zero_copy_only=False).astype(bool)
+    size = np.maximum(np.diff(at), 1)
+    if not languages:
+        return np.full(len(size), NO_LETTER, object), 0.0 * size, 0.0 * size
+    total = code_lengths(data, at, order, step, bits)
+    scale = np.minimum(1, 64 / size)[:, None]
+    share = 1 / np.exp2((total.min(1, keepdims=True) - total) * scale).sum(1)
+    names = np.array(languages, object)[total.argmin(1)]
+    return (np.where(letter, names, NO_LETTER), np.where(letter, share, 0.0),
+            np.where(letter, total.min(1) / size, 0.0))
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more.
+
+    Rows pass with all their columns; nothing is joined or shuffled.  A row whose text is null
+    or has no letter is rejected.
+    """
+    handle, mark, schema = Handle.of(docs, model), "__letter", docs.schema
+
+    def choose(batches):
+        for batch in pieces(batches, "text"):
+            names, share, _ = _judged(handle, batch.column("text"), batch.column(mark))
+            keep = pa.array((names != NO_LETTER) & (share >= least))
+            yield batch.select(schema.names).filter(keep)
+
+    return docs.where(F.col("text").isNotNull()).withColumn(
+        mark, F.col("text").rlike("\\p{L}")).mapInArrow(choose, schema)
+
+
 def held_out(column="doc_id"):
     """The test fold: every fifth by the checksum of the id as text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
