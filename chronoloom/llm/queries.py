@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, neardup, packing, pii, quality, tokencount
+from . import chat, htmltext, langid, mixing, neardup, packing, pii, quality, tokencount
 from .common import table
 
 #: A public tokenizer file; the library that counts as its reference is installed beside it.
@@ -85,3 +85,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_mixture")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan(table(spark, folder, "documents"))
+
+
+@query("op2_chats")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(table(spark, folder, "conversations"))
