@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmltext, langid, mixing, neardup, packing, pii, quality, tokencount
+from . import (
+    chat,
+    htmltext,
+    langid,
+    mixing,
+    neardup,
+    packing,
+    pii,
+    quality,
+    search,
+    tokencount,
+)
 from .common import table
 
 #: A public tokenizer file; the library that counts as its reference is installed beside it.
@@ -90,3 +101,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_chats")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(table(spark, folder, "conversations"))
+
+
+@query("op8_search")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return search.search(docs, docs.where(F.col("doc_id") % 100 == 0))
