@@ -1,4 +1,4 @@
-"""Six small case files through the whole flow, all cases in one run."""
+"""Written case files through the whole flow, all cases in one run."""
 
 import datetime as dt
 
@@ -17,7 +17,7 @@ PACK = rules.load("cnesst")
 
 @pytest.fixture(scope="module")
 def corpus(spark):
-    lines, sheets = fp.tables(spark, *fp.PAGES)
+    lines, sheets = fp.tables(spark)
     found = cut(blocks.from_lines(lines))
     settings = manifest.Settings(rejoin=True, screen=True, today=fp.TODAY)
     told = manifest.build(found, sheets, PACK, settings)
@@ -35,12 +35,12 @@ def _pages(unit):
     return [p for s in unit["spans"] for p in range(s["first"], s["last"] + 1)]
 
 
-@pytest.mark.parametrize("fixture", list(fp.UNITS))
-def test_units(units, fixture):
-    mine = {tuple(_pages(u)): u for u in units if u["case_id"] == fixture}
-    assert len(mine) == len(fp.UNITS[fixture])
-    for _, sheets, cls, day, status, excluded in fp.UNITS[fixture]:
-        unit = mine[tuple(sheets)]
+@pytest.mark.parametrize("case", list(fp.UNITS))
+def test_units(units, case):
+    mine = {tuple(_pages(u)): u for u in units if u["case_id"] == case}
+    assert set(mine) == set(fp.UNITS[case])
+    for sheets, (cls, day, status, excluded) in fp.UNITS[case].items():
+        unit = mine[sheets]
         assert unit["doc_class"] == cls
         assert unit["excluded_by"] == excluded
         if status is not None:
@@ -50,8 +50,8 @@ def test_units(units, fixture):
 
 def test_ambiguous_date_keeps_both_readings(units):
     unit = next(u for u in units if u["date_status"] == "ambiguous")
-    assert unit["row_date"] == dt.date(2002, 3, 4)
-    assert unit["date_alternatives"] == [dt.date(2004, 3, 2)]
+    assert unit["row_date"] == dt.date(2003, 4, 5)
+    assert unit["date_alternatives"] == [dt.date(2005, 4, 3)]
 
 
 def test_nothing_is_dropped(corpus, units):
@@ -59,21 +59,21 @@ def test_nothing_is_dropped(corpus, units):
 
 
 def test_regimes(units):
-    got = {u["first_page"]: u["regime"] for u in units if u["case_id"] == "mixed"}
-    assert got == {1: "cnesst", 2: "saaq", 3: "cnesst"}
+    got = {u["first_page"]: u["regime"] for u in units if u["case_id"] == "deux_regimes"}
+    assert got == {1: "saaq", 2: "cnesst"}
 
 
 def test_unbuilt_filters_are_named(units):
-    kept = next(u for u in units if u["case_id"] == "admin" and u["first_page"] == 3)
+    kept = next(u for u in units if u["case_id"] == "bureau" and u["first_page"] == 2)
     assert kept["filters_unavailable"] == [
         "cnesst.filter.duplicate_of_included", "cnesst.filter.out_of_claim_scope"]
 
 
 def test_printed_labels(corpus):
     got = {(r.bundle_id, r.pdf_index): r.printed_label for r in corpus["labels"].collect()}
-    assert got[("tiny/Médical", 5)] == "44"
-    assert got[("tiny/Médical", 2)] == "1"
-    assert ("hard/Médical", 7) not in got
+    assert got[("scierie/Tome A", 1)] == "27"
+    assert got[("scierie/Tome A", 3)] == "2"
+    assert ("archive/Tome A", 1) not in got
 
 
 def _records(corpus, case, page):
@@ -83,29 +83,29 @@ def _records(corpus, case, page):
 
 
 def test_form_fields(corpus):
-    got = _records(corpus, "tiny", 1)
-    assert got["consolidation"].value == "non"
-    assert (got["consolidation"].span_start, got["consolidation"].span_end) == (11, 18)
-    assert got["diagnostic"].value == "Entorse lombaire"
-    rem = _records(corpus, "hard", 1)
+    got = _records(corpus, "scierie", 5)
+    assert got["consolidation"].value == "oui"
+    assert (got["consolidation"].span_start, got["consolidation"].span_end) == (0, 7)
+    assert got["diagnostic"].value == "Ténosynovite de De Quervain"
+    rem = _records(corpus, "archive", 7)
     assert rem["apipp"].value == "rated"
     assert rem["limitations_fonctionnelles"].value == "absent" and rem["limitations_fonctionnelles"].derived
-    assert rem["bareme.1"].value == '{"code": "102 383", "pct": "2"}'
-    assert rem["bareme.2"].value == '{"code": "204 219", "pct": "2°2"}'
+    assert rem["bareme.1"].value == '{"code": "103 499", "pct": "4"}'
+    assert rem["bareme.2"].value == '{"code": "210 087", "pct": "3°1"}'
     assert rem["bareme.2"].confidence == 0.55
     assert rem["bareme.expected_count"].value == "2"
 
 
 def test_cue_fields(corpus):
-    got = _records(corpus, "fields", 1)
-    assert got["trajectory"].value.startswith("Amélioration de la mobilité")
+    got = _records(corpus, "expertise", 2)
+    assert got["trajectory"].value.startswith("Nette amélioration du sommeil")
     assert got["trajectory.enum"].value == "amelioration"
-    assert got["confounder.cont1"].value == "préexistante de spondylarthrose étagée."
-    assert got["intercurrent_event"].value.endswith("chute à domicile.")
+    assert got["confounder.cont1"].value == "ancienne de la hanche opposée."
+    assert "une chute dans un escalier" in got["intercurrent_event"].value
     assert got["procured_by"].value == "insurer_expert"
     assert got["evidence_weight"].value == "contestable"
-    assert "épaule droite" in got["claimed_but_unrated"].value
-    control = _records(corpus, "fields", 2)
+    assert "genou gauche" in got["claimed_but_unrated"].value
+    control = _records(corpus, "expertise", 1)
     assert {r.value for f, r in control.items() if f != "evidence_weight"} == {"absent"}
 
 
@@ -118,37 +118,38 @@ def test_duplicates(corpus):
     prints = cut(duplicates.fingerprints(corpus["manifest"].blocks, corpus["manifest"].units))
     where = {
         (r.bundle_id, r.first_page): r.unit_id
-        for r in corpus["manifest"].units.filter("case_id = 'dupes'").collect()}
-    med, chum = "dupes/Médical", "dupes/CHUM"
+        for r in corpus["manifest"].units.filter("case_id = 'deux_tomes'").collect()}
+    one, two = "deux_tomes/Clinique", "deux_tomes/Hôpital"
     pairs = corpus["blocks"].sparkSession.createDataFrame(
-        [(where[(chum, i)], where[(med, i)]) for i in (1, 2, 3)], "a string, b string")
+        [(where[(two, i)], where[(one, i)]) for i in (1, 2, 3)], "a string, b string")
     got = {r.a: r.verdict for r in duplicates.compare(pairs, prints).collect()}
-    assert got == {where[(chum, 1)]: "same_doc_different_artifact",
-                   where[(chum, 2)]: "identical", where[(chum, 3)]: "different"}
+    assert got == {where[(two, 1)]: "identical",
+                   where[(two, 2)]: "same_doc_different_artifact", where[(two, 3)]: "different"}
     counted = {(r.case_id, r.verdict): r.pairs
                for r in duplicates.report(duplicates.keyed(prints)).collect()}
-    assert counted == {("dupes", "identical"): 1, ("dupes", "same_doc_different_artifact"): 1}
+    assert counted == {
+        ("deux_tomes", "identical"): 1, ("deux_tomes", "same_doc_different_artifact"): 1}
     removed = [tuple(r) for r in near_duplicates.removable(prints).collect()]
-    assert removed == [(where[(med, 2)], where[(chum, 2)])]
+    assert [set(r) for r in removed] == [{where[(one, 1)], where[(two, 1)]}]
 
 
 def test_rows(corpus):
     rows = [r.asDict() for r in corpus["made"].rows.collect()]
-    consult = [r for r in rows if r["case_id"] == "dupes" and str(r["row_date"]) == "2024-02-11"]
+    consult = [r for r in rows if r["case_id"] == "deux_tomes" and str(r["row_date"]) == "2020-07-29"]
     assert len(consult) == 1 and consult[0]["n_units"] == 2 and consult[0]["n_bundles"] == 2
-    assert [r["excluded_by"] for r in rows if r["case_id"] == "dupes" and r["excluded_by"]] == [
+    assert [r["excluded_by"] for r in rows if r["case_id"] == "deux_tomes" and r["excluded_by"]] == [
         "dedupe.identical"]
     rem = next(r for r in rows if r["doc_class"] == "rapport_evaluation_medicale")
-    assert rem["claim_event"] == dt.date(1990, 5, 8)
+    assert rem["claim_event"] == dt.date(1987, 11, 30)
     assert rem["claim_rule"] == "claim_event.declared"
     assert abs(rem["confidence"] - 0.495) < 1e-9 and rem["warns"]
-    assert rem["title"] == "Rapport d'évaluation médicale — Dr Pierre Bouchard, orthopédiste"
+    assert rem["title"] == "Rapport d'évaluation médicale — Dre Odile Marchand, physiatre"
 
 
 def test_bullets_use_the_pack_wording(corpus):
     texts = {r.text for r in corpus["made"].bullets.collect()}
-    assert {"Consolidation : non", "Barème 102 383 — 2 %", "Atteinte permanente : oui",
-            "Facteur confondant : L'amélioration est toutefois confondue par une condition personnelle",
+    assert {"Consolidation : oui", "Barème 103 499 — 4 %", "Atteinte permanente : oui",
+            "Facteur confondant : Les progrès restent confondus par une arthrose",
             } <= texts
     assert not any(t.startswith(("Signé", "{")) for t in texts)
 
@@ -158,7 +159,7 @@ def test_release_gate(corpus):
     made = corpus["made"]
     gates = report.release_gate(
         made.rows, made.locators, made.bullets, corpus["manifest"].pages, bundles).collect()
-    assert len(gates) == len(fp.PAGES) and all(g.passes and g.coverage == 1.0 for g in gates)
+    assert len(gates) == len({case for case, _ in fp.BUNDLES}) and all(g.passes and g.coverage == 1.0 for g in gates)
 
 
 def test_exports(corpus, tmp_path):
@@ -172,10 +173,10 @@ def test_exports(corpus, tmp_path):
     export.write_markdown(
         export.markdown_lines(report.display_rows(made.rows, PACK), places, made.bullets, PACK),
         str(tmp_path / "md"))
-    hard = "\n".join(
-        p.read_text(encoding="utf-8") for p in sorted((tmp_path / "md" / "case_id=hard").glob("*.txt")))
-    assert hard.startswith("**SANS DATE — 2 documents à dater**")
-    assert "| 2002-03-04 (?) | hard/Médical<br>p. 1 |" in hard
-    assert "⚠ confiance 0.50" in hard or "⚠ confiance 0.49" in hard
+    archive = "\n".join(
+        p.read_text(encoding="utf-8") for p in sorted((tmp_path / "md" / "case_id=archive").glob("*.txt")))
+    assert archive.startswith("**SANS DATE — 2 documents à dater**")
+    assert "| 2003-04-05 (?) | archive/Tome A<br>p. 1 |" in archive
+    assert "⚠ confiance 0.50" in archive or "⚠ confiance 0.49" in archive
     read = corpus["blocks"].sparkSession.read.json(str(tmp_path / "json"))
     assert read.count() == made.rows.count()
