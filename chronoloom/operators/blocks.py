@@ -48,8 +48,8 @@ def page_label(text: Column, y0: Column, y1: Column, height: Column) -> Column:
             F.lit(rule).alias("rule"), F.regexp_extract(text, tx.rx(p), 1).alias("label")))
         for rule, p in LABEL_PATTERNS
     ])
-    # Labels are short and hold a number: two cheap tests spare most lines the patterns.
-    return F.when(in_band & (F.length(text) <= 60) & tx.has_digit(text), read)
+    # A label holds a number, a cheap test that spares most lines the patterns.
+    return F.when(in_band & tx.has_digit(text), read)
 
 
 def block_type(

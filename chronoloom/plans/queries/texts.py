@@ -31,7 +31,7 @@ raw AS (
     text AS line, trim(text, ' ' || chr(9) || chr(13)) AS text, nth % 4 AS slot
   FROM ln WHERE trim(text) <> ''),
 lab AS (
-  SELECT *, CASE WHEN slot IN (0, 3) AND length(line) <= 60 THEN
+  SELECT *, CASE WHEN slot IN (0, 3) THEN
     CASE WHEN regexp_matches(line, '(?i)^\s*(?:(?:p?age|p)\.?\s*)?(\d{1,4})\s*(?:de|of|/|sur)\s*\d{1,4}\s*$') THEN 'page_x_of_y'
       WHEN regexp_matches(line, '(?i)^\s*(?:p?age|p)\.?\s*(\d{1,4})\s*(?:de|of|sur)\s*$') THEN 'page_x_of_truncated'
       WHEN regexp_matches(line, '(?i)^\s*(?:p?age|p)\.?\s*(\d{1,4})\s*$') THEN 'page_n'
