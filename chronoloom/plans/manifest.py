@@ -76,7 +76,14 @@ def build(blocks: DataFrame, pages: DataFrame, pack: rules.Pack, settings: Setti
 
 def describe_cases(blocks: DataFrame, pages: DataFrame, cases: DataFrame, settings: Settings,
                    fixes: DataFrame | None = None) -> DataFrame:
-    """Units of cases that differ in their primary pack: one pass per pack, then a union."""
+    """Units of cases that differ in their primary pack: one pass per pack, then a union.
+
+    A case whose pack is not among ``settings.packs`` is an error, not a case without units.
+    """
+    other = cases.filter(~F.coalesce(F.col("primary_pack").isin(list(settings.packs)), F.lit(False)))
+    found = other.select("case_id", "primary_pack").first()
+    if found is not None:
+        raise ValueError(f"case {found.case_id} needs pack {found.primary_pack}, which is not loaded")
     parts = []
     for pack_id in settings.packs:
         mine = cases.filter(F.col("primary_pack") == pack_id).select("case_id")

@@ -22,9 +22,10 @@ SETTINGS = manifest.Settings(today=TODAY, screen=True)
 
 WRITTEN = """
 p0 AS (
-  SELECT l_orderkey, l_linenumber AS page, min(l_returnflag) AS flag, min(l_linestatus) AS status,
-    CAST(min(l_shipdate) AS DATE) AS day, CAST(min(l_quantity) AS INTEGER) AS qty, min(l_suppkey) AS supp
-  FROM lineitem GROUP BY 1, 2),
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS page,
+    l_returnflag AS flag, l_linestatus AS status,
+    CAST(l_shipdate AS DATE) AS day, CAST(l_quantity AS INTEGER) AS qty, l_suppkey AS supp
+  FROM lineitem),
 p1 AS (SELECT p0.*, 'c' || o_custkey AS case_id, CAST(o_orderdate AS DATE) AS o_day,
     status = 'F' OR page = min(page) OVER (PARTITION BY l_orderkey) AS opens
   FROM p0 JOIN orders ON o_orderkey = l_orderkey),

@@ -666,17 +666,15 @@ FROM rc""")
 def json_export(spark, folder):
     """The nested JSON objects, read back from their JSON text and summed up per row."""
     nested = export.json_rows(*_export_parts(spark, folder))
-    text = nested.select("part", F.to_json(F.struct(*nested.columns)).alias("j"))
-    read = text.select("part", F.from_json("j", (
+    read = nested.select(F.from_json(F.to_json(F.struct(*nested.columns)), (
         "id string, date string, title string, confidence double,"
         " locators array<struct<unit_id:string>>, bullets array<struct<text:string>>")).alias("r"))
     texts = F.array_join(F.transform("r.bullets", lambda b: b["text"]), "|")
-    parts = read.select("part", "r.*", texts.alias("texts"))
-    return parts.groupBy("id", "date", "title", "confidence").agg(
-        F.sum(F.coalesce(F.size("locators"), F.lit(0))).alias("n_locators"),
-        F.sum(F.coalesce(F.size("bullets"), F.lit(0))).alias("n_bullets"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "texts"))),
-                                 lambda x: x["texts"]), "|").alias("texts"))
+    return read.select(
+        "r.id", "r.date", "r.title", "r.confidence",
+        F.coalesce(F.size("r.locators"), F.lit(0)).cast("long").alias("n_locators"),
+        F.coalesce(F.size("r.bullets"), F.lit(0)).cast("long").alias("n_bullets"),
+        F.coalesce(texts, F.lit("")).alias("texts"))
 
 
 @query("markdown_export", _with(UNITS, ENCOUNTERS, MERGED, BULLETS, CONFIDENT, """

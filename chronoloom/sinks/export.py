@@ -1,7 +1,6 @@
 """The chronology as JSON and as Markdown.
 
-A row may hold any number of lines and locators.  Nested values are cut into parts of a fixed
-length: a row of usual size is one object, a very long one continues in the next.
+A row is one object and one table line, however many lines and locators it holds.
 """
 
 from __future__ import annotations
@@ -11,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ..rules import Pack
 
-PART = 1000
-
 # --- Fixed values: headings of the printed tables -------------------------------------------
 REMOVED_HEAD = ("| Date | Document | Règle |", "|---|---|---|")
 UNDATED_HEADING = "SANS DATE — {n} documents à dater"
@@ -21,14 +18,13 @@ REMOVED_HEADING = "RETIRÉ PAR RÈGLE — {n} document(s), conservés au dossier
 
 
 def _nested(df: DataFrame, place: str, name: str, *cols) -> DataFrame:
-    part = F.floor(F.col(place) / PART).alias("part")
     item = F.struct(F.col(place).alias("_at"), F.struct(*cols).alias("v"))
-    return df.groupBy("row_id", part).agg(
+    return df.groupBy("row_id").agg(
         F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))
 
 
 def json_rows(rows: DataFrame, locators: DataFrame, bullets: DataFrame) -> DataFrame:
-    """One object per row and part.  ``locators`` and ``bullets`` carry ``pos``."""
+    """One object per row.  ``locators`` and ``bullets`` carry ``pos``."""
     places = _nested(
         locators, "pos", "locators", "folder_label", "bundle_id",
         F.col("first_page").alias("pdf_index"), "printed_label", "display_page", "flagged", "unit_id")
@@ -36,10 +32,9 @@ def json_rows(rows: DataFrame, locators: DataFrame, bullets: DataFrame) -> DataF
         "bundle_id", "pdf_index", "unit_id", "block_id",
         F.col("span_start").alias("start"), F.col("span_end").alias("end")).alias("citation")
     lines = _nested(bullets, "pos", "bullets", "text", "confidence", "rule", citation)
-    parts = places.join(lines, ["row_id", "part"], "full_outer")
-    out = rows.join(parts, "row_id", "left")
+    out = rows.join(places, "row_id", "left").join(lines, "row_id", "left")
     return out.select(
-        F.col("row_id").alias("id"), "case_id", F.coalesce("part", F.lit(0)).alias("part"),
+        F.col("row_id").alias("id"), "case_id",
         F.col("row_date").cast("string").alias("date"), "date_status", "date_explanation",
         "date_alternatives", "title", "author", "doc_class", "regime",
         F.round("confidence", 4).alias("confidence"), "warns", "illegible_reason", "second_hand",
@@ -54,7 +49,8 @@ def removal_manifest(rows: DataFrame) -> DataFrame:
 
 
 def markdown_lines(rows: DataFrame, locators: DataFrame, bullets: DataFrame, pack: Pack) -> DataFrame:
-    """(case_id, section, row_sort, part, line): the printed document, one line per record.
+    """(case_id, section, row_sort, part, line): the printed document, one line per record; part
+    counts the lines of a heading.
 
     Sort by the first columns to print.  ``rows`` need the cells of ``display_rows``,
     ``locators`` the ``locator`` text; both they and ``bullets`` carry ``pos``.
@@ -68,20 +64,16 @@ def markdown_lines(rows: DataFrame, locators: DataFrame, bullets: DataFrame, pac
 
     places = _nested(locators, "pos", "places", F.regexp_replace("locator", "\n", "<br>").alias("l"))
     lines = _nested(bullets, "pos", "lines", F.concat(F.lit("• "), F.col("text")).alias("l"))
-    parts = places.join(lines, ["row_id", "part"], "full_outer")
-    body = rows.filter(shown).join(parts, "row_id", "left").withColumn(
-        "part", F.coalesce("part", F.lit(0)))
-    opening = F.when(F.col("part") == 0, F.concat(F.lit("**"), F.col("title_cell"), F.lit("**")))
-    illegible = F.when(F.col("part") == 0, F.col("illegible_cell"))
-    warning = F.when(F.col("part") == 0, F.col("warning_cell"))
+    body = rows.filter(shown).join(places, "row_id", "left").join(lines, "row_id", "left")
+    opening = F.concat(F.lit("**"), F.col("title_cell"), F.lit("**"))
 
     def joined(name: str, sep: str):
         return F.nullif(F.array_join(F.transform(name, lambda x: x["l"]), sep), F.lit(""))
 
-    content = F.concat_ws("<br>", opening, illegible, joined("lines", "<br>"), warning)
+    content = F.concat_ws("<br>", opening, "illegible_cell", joined("lines", "<br>"), "warning_cell")
     table = body.select(
-        "case_id", F.lit(2).alias("section"), sort.alias("row_sort"), "part", F.concat(
-            F.lit("| "), F.when(F.col("part") == 0, F.col("date_cell")).otherwise(""), F.lit(" | "),
+        "case_id", F.lit(2).alias("section"), sort.alias("row_sort"), F.lit(0).alias("part"), F.concat(
+            F.lit("| "), F.col("date_cell"), F.lit(" | "),
             F.coalesce(joined("places", " ; "), F.lit("")), F.lit(" | "), content,
             F.lit(" |")).alias("line"))
     nothing = F.lit(None).cast(table.schema["row_sort"].dataType)
@@ -112,7 +104,7 @@ def markdown_lines(rows: DataFrame, locators: DataFrame, bullets: DataFrame, pac
                  F.lit("` |")).alias("line"))
     out = table
     for part in (first, head, gone, held):
-        out = out.unionByName(part.withColumn("part", F.col("part").cast("long")))
+        out = out.unionByName(part)
     return out
 
 

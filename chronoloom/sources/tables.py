@@ -7,6 +7,7 @@ with them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import spread
@@ -170,12 +171,15 @@ STATEMENTS = (
 
 
 def written_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """One page per (order, line number): what its lines say, as columns."""
+    """One page per line item, in the order of line number, part and quantity: what it says."""
     items, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
-    page = items.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"),
-        F.to_date(F.min("l_shipdate")).alias("day"), F.min("l_quantity").cast("int").alias("qty"),
-        F.min("l_suppkey").alias("supp"))
+    # An order has some lines, so its window is small.
+    within = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    page = items.select(
+        "l_orderkey", F.row_number().over(within).alias("l_linenumber"),
+        F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
+        F.to_date("l_shipdate").alias("day"), F.col("l_quantity").cast("int").alias("qty"),
+        F.col("l_suppkey").alias("supp"))
     return page.join(orders.select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey",
         F.to_date("o_orderdate").alias("o_day")), "l_orderkey")
