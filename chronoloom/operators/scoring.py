@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def match_units(pairs: DataFrame, gold: DataFrame, units: DataFrame) -> DataFram
     Gold units without a match are not in the result.
     """
     open_ = cut(pairs.join(gold, ["case_id", "gold_id"]).join(units, ["case_id", "unit_id"]))
-    taken = None
+    taken = []
     while not open_.isEmpty():
         best = open_.groupBy("case_id", "gold_id", "gold_ord").agg(F.max_by(
             F.struct("unit_id", "overlap"), F.struct("overlap", -F.col("unit_ord"))).alias("b"))
@@ -77,13 +79,13 @@ def match_units(pairs: DataFrame, gold: DataFrame, units: DataFrame) -> DataFram
             best.select("case_id", "gold_id", "gold_ord", "b.unit_id", "b.overlap")
             .join(ahead, ["case_id", "unit_id"]).filter(F.col("gold_ord") == F.col("first_ord"))
             .drop("first_ord"))
-        taken = safe if taken is None else cut(taken.unionByName(safe))
+        # Each round is a table of its own; none is written again.
+        taken.append(safe)
         open_ = cut(
             open_.join(safe, ["case_id", "gold_id"], "left_anti")
             .join(safe, ["case_id", "unit_id"], "left_anti"))
-    if taken is None:
-        taken = open_.select("case_id", "gold_id", "gold_ord", "unit_id", "overlap")
-    return taken
+    none = open_.select("case_id", "gold_id", "gold_ord", "unit_id", "overlap")
+    return reduce(DataFrame.unionByName, taken, none)
 
 
 def spurious_units(units: DataFrame, matched: DataFrame) -> DataFrame:

@@ -124,5 +124,6 @@ def test_patterns_over_line_ends(spark):
                 r"physique\s*ou\s*psychique\s*ou\s*psychique", r"\bou\b\s+\bou\b"]
     got = {tuple(r) for r in matching.document_hits(df, patterns).collect()}
     assert got == {(u, p) for u, t in whole.items() for p in patterns if re.search(p, t, re.I)}
-    with pytest.raises(ValueError):
-        matching.line_ends_crossed(r"a[^b]*c")
+    whole_only = r"psychique[^z]*\n.*atteinte"
+    got = {tuple(r) for r in matching.document_hits(df, [whole_only]).collect()}
+    assert got == {(u, whole_only) for u, t in whole.items() if re.search(whole_only, t, re.I)}
