@@ -5,11 +5,12 @@ terms, and for each its postings (document, frequency).  The index is written on
 frequencies and lengths that scores need are those of all documents.
 
 A query is the set of its words.  Queries are taken in blocks of a bounded number of terms; each
-block is sent to all segments.  Documents of a segment form ranges of RANGE; for a term and a
-range the greatest impact is known, and a query's sum of them bounds the scores in the range.
-Ranges are scored from the greatest bound down, and those whose bound is below the query's k-th
-best score so far are skipped (the k-th best of the segments that the task has seen).  Bounds
-are never below scores, so the merged result is that of scoring everything.
+block is sent to all segments.  In a segment the postings of a query's rare terms are added up
+first.  Its frequent terms have a score in most documents; for these, documents form ranges of
+RANGE, the greatest impact of a term in each range is known, and a query's sum of them bounds
+what a document of the range can still gain.  Only documents whose sum and bound reach the
+query's k-th best score so far (over all segments that the task has seen) are scored in full.
+Bounds are never below scores, so the merged result is that of scoring everything.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from .neardup import _P, _mix, _powers
 K1, B = 1.2, 0.75
 SEGMENT_WORDS = 3_000_000
 RANGE = 32
-BLOCK_TERMS = 200_000
+#: A term in one of so many documents or more (and in so many) is frequent.
+FREQUENT = 16
+BLOCK_TERMS = 400_000
 #: Letters and digits of ASCII and all bytes of other characters make words.
 _IN_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
@@ -108,7 +111,8 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 class Segment:
-    """An index segment with impacts and range maxima under the corpus' mean length."""
+    """An index segment with impacts under the corpus' mean length; those of frequent terms also as
+    a table of term and document, with its maxima by range."""
 
     def __init__(self, row: dict, mean: float):
         self.ids = row["ids"]
@@ -119,17 +123,16 @@ class Segment:
         tf = np.frombuffer(row["counts"], "<u2").astype(np.float64)
         length = np.frombuffer(row["lengths"], "<u4")[self.docs]
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-        # Runs of postings of one term in one range: range, start, greatest impact.
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
-        cell = self.docs // RANGE
-        new = np.ones(len(cell), bool)
-        new[1:] = (cell[1:] != cell[:-1]) | (term[1:] != term[:-1])
-        self.runs = np.flatnonzero(new)
-        self.run_range = cell[self.runs]
-        self.run_max = np.maximum.reduceat(self.impact, self.runs) if len(self.runs) else \
-            np.zeros(0)
-        self.run_starts = np.searchsorted(self.runs, self.starts)
-        self.runs = np.append(self.runs, len(cell))
+        size = np.diff(self.starts)
+        frequent = np.flatnonzero((size * FREQUENT >= self.n) & (size >= FREQUENT))
+        self.row = np.full(len(self.terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        width = -(-self.n // RANGE)
+        self.full = np.zeros((len(frequent), width * RANGE))
+        for r, t in enumerate(frequent.tolist()):
+            at = slice(self.starts[t], self.starts[t + 1])
+            self.full[r, self.docs[at]] = self.impact[at]
+        self.most = self.full.reshape(len(frequent), width, RANGE).max(2)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Places of the wanted terms (sorted), -1 where the segment lacks one."""
@@ -141,36 +144,34 @@ class Segment:
     def best(self, places: np.ndarray, weights: np.ndarray, k: int, floor: float
              ) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores of at least the k best ones that reach ``floor``."""
-        size = self.run_starts[places + 1] - self.run_starts[places]
-        run = _ranges(self.run_starts[places], size)
-        weight = np.repeat(weights, size)
-        cell = self.run_range[run]
-        bound = np.bincount(cell, weight * self.run_max[run], -(-self.n // RANGE)) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores = np.zeros(self.n)
-        done, step, seen = 0, 4, np.zeros(0)
-        while done < len(order) and bound[order[done]] >= floor:
-            now = order[done:done + step]
-            now = now[bound[now] >= floor]
-            mark = np.zeros(len(bound), bool)
-            mark[now] = True
-            take = mark[cell]
-            start, stop = self.runs[run[take]], self.runs[run[take] + 1]
-            posting = _ranges(start, stop - start)
-            part = np.bincount(self.docs[posting], np.repeat(weight[take], stop - start)
-                               * self.impact[posting], self.n)
-            hit = np.flatnonzero(part)
-            scores[hit] = part[hit]
-            seen = np.concatenate([seen, part[hit]])
-            if len(seen) > k:
-                seen = np.partition(seen, len(seen) - k)[-k:]
-            if len(seen) >= k:
-                floor = max(floor, float(seen.min()))
-            done += step
-            step *= 4
-        hit = np.flatnonzero((scores > 0) & (scores >= floor))
-        return hit, scores[hit]
+        row = self.row[places]
+        rare = row < 0
+        start = self.starts[places[rare]]
+        size = self.starts[places[rare] + 1] - start
+        posting = _ranges(start, size)
+        sums = np.bincount(self.docs[posting], np.repeat(weights[rare], size)
+                           * self.impact[posting], self.n)
+        row, weight = row[~rare], weights[~rare][:, None]
+        bound = sums + np.repeat((weight * self.most[row]).sum(0), RANGE)[:self.n]
+        bound *= 1 + 1e-9
+
+        def scored(docs: np.ndarray) -> np.ndarray:
+            if 8 * len(docs) < self.n:
+                return sums[docs] + (weight * self.full[row[:, None], docs]).sum(0)
+            # Whole rows are read faster than many places of them; the order of sums is the same.
+            every = np.zeros(self.full.shape[1])
+            for r, w in zip(row, weight[:, 0]):
+                every += self.full[r] * w
+            return sums[docs] + every[docs]
+
+        if self.n > 4 * k:
+            # The most promising ones raise the floor before the others are looked at.
+            first = scored(np.argpartition(bound, self.n - 2 * k)[-2 * k:])
+            floor = max(floor, float(np.partition(first, k)[k]) - 1e-6)
+        hit = np.flatnonzero((bound >= floor) & (bound > 0))
+        score = scored(hit)
+        keep = (score >= floor) & (score > 0)
+        return hit[keep], score[keep]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -262,12 +263,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                             continue
                         hit, score = segment.best(at[there], idf[own[there]], k, floor[q])
                         if len(hit):
-                            found = kept[q] + [(-s, segment.ids[d])
+                            # Rounded, as sums of equal documents may differ in the last bits.
+                            found = kept[q] + [(-round(s, 9), segment.ids[d])
                                                for d, s in zip(hit.tolist(), score.tolist())]
                             found.sort(key=lambda x: (x[0], x[1] is not None, x[1]))
                             kept[q] = found[:k]
                             if len(found) >= k:
-                                floor[q] = -kept[q][-1][0]
+                                floor[q] = -kept[q][-1][0] - 1e-6
             rows_ = [(n, d, -s) for n, found in zip(names, kept) for s, d in found]
             if rows_:
                 q, d, s = zip(*rows_)
