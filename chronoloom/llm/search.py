@@ -70,14 +70,13 @@ def _segment(ids: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> tu
     return (ids, len(size), int(size.sum()), size.astype("<u4").tobytes(),
             words[start].astype("<u8").tobytes(),
             np.append(start, len(words)).astype("<u4").tobytes(), doc.astype("<u4").tobytes(),
-            np.minimum(frequency, 65535).astype("<u2").tobytes())
+            frequency.astype("<u4").tobytes())
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments of the inverted index over every row of ``docs``.
 
-    A term's frequency in one document is kept up to 65535, above which its score would not
-    change in six digits.  Null and empty texts are documents of length zero.
+    Null and empty texts are documents of length zero.
     """
     slim = texts(docs, id_col, text_col)
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -120,7 +119,7 @@ class Segment:
         self.terms = np.frombuffer(row["terms"], "<u8")
         self.starts = np.frombuffer(row["starts"], "<u4").astype(np.int64)
         self.docs = np.frombuffer(row["docs"], "<u4").astype(np.int64)
-        tf = np.frombuffer(row["counts"], "<u2").astype(np.float64)
+        tf = np.frombuffer(row["counts"], "<u4").astype(np.float64)
         length = np.frombuffer(row["lengths"], "<u4")[self.docs]
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
         size = np.diff(self.starts)
