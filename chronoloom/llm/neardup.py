@@ -12,8 +12,8 @@ No pairs within a bucket are listed.  Equal texts are one node throughout.  In e
 nodes are paired with one pivot only, the node that shares most with others over all its
 buckets; pairs are verified by their exact weighted Jaccard similarity, and linked nodes form
 components.  Where a bucket still holds several components, its nodes outside the pivot's are
-compared with all others by their samples, block by block, and the best partner of another
-component in each block is verified too; this repeats until no link is added.
+compared with all others by their samples, block by block, and each one's best partner of another
+component in each block is verified too.
 
 Results are component labels: nothing about documents goes through the driver.
 """
@@ -32,6 +32,8 @@ from .components import components
 WORDS = 5
 SAMPLES, ROWS = 80, 4
 BUCKETS = 1 << 18
+#: Bits of the map of documents that have a candidate.
+BITS = 1 << 25
 #: Members of a bucket compared with one another's blocks at a time, and queries among them.
 BLOCK, QUERIES = 512, 4096
 #: Pairs whose samples agree in fewer places are not verified: a pair of similarity 0.8 agrees
@@ -161,6 +163,16 @@ class Sampler:
                                            + np.uint64(1 << 20)))
 
 
+_SAMPLER: list[Sampler] = []
+
+
+def sampler() -> Sampler:
+    """One per worker."""
+    if not _SAMPLER:
+        _SAMPLER.append(Sampler())
+    return _SAMPLER[0]
+
+
 def similarity(a: tuple, b: tuple) -> float:
     """Weighted Jaccard similarity of two sets, each as sorted hashes and weights."""
     (x, u), (y, v) = a, b
@@ -203,7 +215,7 @@ def signatures(slim: DataFrame, weights) -> DataFrame:
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
-        sampler = Sampler()
+        draw = sampler().draw
         w = weights.value
         number = np.arange(SAMPLES // ROWS, dtype=np.uint64)
         for batch in pieces(batches, "text"):
@@ -214,7 +226,7 @@ def signatures(slim: DataFrame, weights) -> DataFrame:
                     bands.append(None)
                     samples.append(None)
                     continue
-                drawn = sampler.draw(hashes, w.of(hashes, counts))
+                drawn = draw(hashes, w.of(hashes, counts))
                 key = number
                 for k in range(ROWS):
                     key = _mix(key * _P + drawn[k::ROWS])
@@ -254,24 +266,43 @@ def verify(pairs: DataFrame, slim: DataFrame, weights, threshold: float) -> Data
         compare, f"a {kind}, b {kind}")
 
 
+def _with_ids(slim: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``slim`` whose id is among ``ids`` (doc), and some others.
+
+    The ids become a bit map of fixed size, which is sent to all tasks, so that the text of
+    documents without candidates is not shuffled.  Where ids are so many that most bits are set,
+    more rows pass; the joins that follow are exact in any case.
+    """
+    def place(column):
+        return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+    marks = ids.select(place("doc").alias("at")).groupBy(
+        F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr(
+            "shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    told = slim.withColumn("at", place("doc_id")).withColumn("word", F.shiftright("at", 6))
+    # At most BITS / 64 rows of two numbers.
+    return told.join(F.broadcast(marks), "word").where(
+        F.expr("shiftright(bits, cast(at & 63 as int)) & 1 = 1")).select(*slim.columns)
+
+
 def _other_components(buckets: DataFrame, labels: DataFrame, samples: DataFrame) -> DataFrame:
-    """Best partners across components for nodes outside their bucket's main component."""
-    named = buckets.join(labels, buckets["doc"] == labels["node"], "left").select(
-        "key", "doc", "shared", F.coalesce("label", "doc").alias("label"))
-    told = named.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"),
-        F.max(F.struct("shared", "label")).alias("top"), F.count(F.lit(1)).alias("n"))
+    """For nodes outside their bucket's main component the best partner of another one, in each
+    block of the bucket: one pair for a node and block, however many components there are."""
+    named = cut(buckets.join(labels, buckets["doc"] == labels["node"], "left").select(
+        "key", "doc", "shared", F.coalesce("label", "doc").alias("label")))
     # Buckets that hold one component only need no look.
-    open_ = told.where("low < high").select(
-        "key", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    open_ = named.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"),
+        F.max(F.struct("shared", "label")).alias("top"), F.count(F.lit(1)).alias("n")).where(
+        "low < high").select("key", F.col("top.label").alias("main"),
+                             F.ceil(F.col("n") / BLOCK).alias("blocks"),
+                             F.ceil(F.col("n") / QUERIES).alias("turns"))
     rows = cut(named.join(open_, "key").join(samples, "doc"))
-    turns = rows.where("label != main").groupBy("key").agg(
-        F.ceil(F.count(F.lit(1)) / QUERIES).alias("turns"))
-    member = rows.join(turns, "key").select(
+    member = rows.select(
         "key", F.pmod(F.xxhash64("doc", "key"), "blocks").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"),
         "doc", "label", "samples", F.lit(False).alias("asks"))
-    asking = rows.where("label != main").join(turns, "key").select(
+    asking = rows.where("label != main").select(
         "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("doc"), "turns").alias("turn"),
         "doc", "label", "samples", F.lit(True).alias("asks"))
@@ -287,10 +318,12 @@ def _other_components(buckets: DataFrame, labels: DataFrame, samples: DataFrame)
         there, out = np.flatnonzero(~asks), []
         for q in np.flatnonzero(asks) if len(there) else ():
             agree = (drawn[there] == drawn[q]).sum(1)
-            agree[labels_[there] == labels_[q]] = -1
-            i = int(agree.argmax())
-            if agree[i] >= LEAST_AGREEING:
-                out.append((max(docs[q], docs[there[i]]), min(docs[q], docs[there[i]])))
+            near = np.flatnonzero((agree >= LEAST_AGREEING) & (labels_[there] != labels_[q]))
+            near = near[np.lexsort((-agree[near], labels_[there[near]]))]
+            # The first of each label is the one that agrees most.
+            _, first = np.unique(labels_[there[near]], return_index=True)
+            for other in docs[there[near[first]]]:
+                out.append((max(docs[q], other), min(docs[q], other)))
         form = group.schema.field("doc").type
         return pa.table({"a": pa.array([x for x, _ in out], form),
                          "b": pa.array([y for _, y in out], form)})
@@ -313,12 +346,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     weights = spark.sparkContext.broadcast(Weights(frequency, documents))
     signed = cut(signatures(slim, weights))
     # Equal texts become one node, named by their least id.
-    same = cut(signed.where("words > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep")).where("rep is not null"))
-    nodes = signed.where("words > 0").join(
-        same.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select(
-        F.col("doc_id").alias("doc"), "bands", "samples").dropDuplicates(["doc"])
-    nodes = cut(nodes)
+    nodes = cut(signed.where("words > 0").groupBy("k1", "k2").agg(
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "bands", "samples"))).alias(
+            "r")).where("r is not null").select(
+        "k1", "k2", F.col("r.doc_id").alias("doc"), "r.bands", "r.samples"))
     keyed = nodes.select("doc", F.posexplode("bands").alias("band", "hash")).select(
         "doc", F.xxhash64("band", "hash").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -326,25 +357,18 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     shared = met.groupBy("doc").agg(F.sum("n").alias("shared"))
     buckets = cut(met.join(shared, "doc").select("key", "doc", "shared"))
     pivots = buckets.groupBy("key").agg(F.max(F.struct("shared", "doc")).alias("top"))
-    pairs = buckets.join(pivots, "key").select(
+    tested = cut(buckets.join(pivots, "key").select(
         F.greatest("doc", "top.doc").alias("a"), F.least("doc", "top.doc").alias("b")).where(
-        "a > b").distinct()
-    there = slim.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id",
-                      "left_semi").dropDuplicates(["doc_id"])
-    there = cut(there)
-    tested = cut(pairs)
+        "a > b").distinct())
+    there = cut(_with_ids(slim, buckets).dropDuplicates(["doc_id"]))
     links = cut(verify(tested, there, weights, threshold))
     samples = nodes.select("doc", "samples")
-    while True:
-        labels = cut(components(links))
-        more = cut(_other_components(buckets, labels, samples).join(tested, ["a", "b"],
-                                                                    "left_anti"))
-        new = cut(verify(more, there, weights, threshold))
-        if new.isEmpty():
-            break
-        links, tested = cut(links.union(new)), cut(tested.union(more))
-    named = same.join(labels, same["rep"] == labels["node"], "left").select(
-        "k1", "k2", F.coalesce("label", "rep").alias("class"))
+    labels = cut(components(links))
+    more = cut(_other_components(buckets, labels, samples).join(tested, ["a", "b"], "left_anti"))
+    new = cut(verify(more, there, weights, threshold))
+    labels = cut(components(links.union(new)))
+    named = nodes.join(labels, nodes["doc"] == labels["node"], "left").select(
+        "k1", "k2", F.coalesce("label", "doc").alias("class"))
     with_words = signed.where("words > 0").select("doc_id", "k1", "k2").join(
         named, ["k1", "k2"], "left").select("doc_id", F.col("class").alias("class_id"))
     without = signed.where("words = 0").select("doc_id", F.col("doc_id").alias("class_id"))
