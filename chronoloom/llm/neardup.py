@@ -13,7 +13,8 @@ nodes are paired with one pivot only, the node that shares most with others over
 buckets; pairs are verified by their exact weighted Jaccard similarity, and linked nodes form
 components.  Where a bucket still holds several components, its nodes outside the pivot's are
 compared with all others by their samples, block by block, and each one's best partner of another
-component in each block is verified too.
+component in each block is verified too.  A link between components is thus missed only if it
+is nobody's best in any block of the about eight buckets that a pair of similarity 0.8 shares.
 
 Results are component labels: nothing about documents goes through the driver.
 """
@@ -318,11 +319,9 @@ def _other_components(buckets: DataFrame, labels: DataFrame, samples: DataFrame)
         there, out = np.flatnonzero(~asks), []
         for q in np.flatnonzero(asks) if len(there) else ():
             agree = (drawn[there] == drawn[q]).sum(1)
-            near = np.flatnonzero((agree >= LEAST_AGREEING) & (labels_[there] != labels_[q]))
-            near = near[np.lexsort((-agree[near], labels_[there[near]]))]
-            # The first of each label is the one that agrees most.
-            _, first = np.unique(labels_[there[near]], return_index=True)
-            for other in docs[there[near[first]]]:
+            agree[labels_[there] == labels_[q]] = -1
+            other = docs[there[int(agree.argmax())]]
+            if agree.max() >= LEAST_AGREEING:
                 out.append((max(docs[q], other), min(docs[q], other)))
         form = group.schema.field("doc").type
         return pa.table({"a": pa.array([x for x, _ in out], form),
