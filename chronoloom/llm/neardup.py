@@ -11,10 +11,10 @@ make a band, and documents that share a band are candidates.
 No pairs within a bucket are listed.  Equal texts are one node throughout.  In each bucket the
 nodes are paired with one pivot only, the node that shares most with others over all its
 buckets; pairs are verified by their exact weighted Jaccard similarity, and linked nodes form
-components.  Where a bucket still holds several components, its nodes outside the pivot's are
-compared with all others by their samples, block by block, and each one's best partner of another
-component in each block is verified too.  A link between components is thus missed only if it
-is nobody's best in any block of the about eight buckets that a pair of similarity 0.8 shares.
+components.  Where a bucket still holds several components, its nodes outside the main one are
+compared with all others by their samples, block by block, and every pair of two components whose
+samples agree enough is verified in the task, once, in the first band that it shares.  A link
+between components is thus missed only if its samples agree in too few places or share no band.
 
 Results are component labels: nothing about documents goes through the driver.
 """
@@ -36,7 +36,7 @@ BUCKETS = 1 << 18
 #: Bits of the map of documents that have a candidate.
 BITS = 1 << 25
 #: Members of a bucket compared with one another's blocks at a time, and queries among them.
-BLOCK, QUERIES = 512, 4096
+BLOCK, QUERIES = 512, 512
 #: Pairs whose samples agree in fewer places are not verified: a pair of similarity 0.8 agrees
 #: in 64 of 80 on average and in fewer than 50 once in three thousand times.
 LEAST_AGREEING = 50
@@ -286,11 +286,71 @@ def _with_ids(slim: DataFrame, ids: DataFrame) -> DataFrame:
         F.expr("shiftright(bits, cast(at & 63 as int)) & 1 = 1")).select(*slim.columns)
 
 
-def _other_components(buckets: DataFrame, labels: DataFrame, samples: DataFrame) -> DataFrame:
-    """For nodes outside their bucket's main component the best partner of another one, in each
-    block of the bucket: one pair for a node and block, however many components there are."""
+def _candidates(group: pa.Table):
+    """Rows q and c of a group, where q asks and c are all members that it may be linked to: of
+    another component, alike in LEAST_AGREEING samples, and met in no earlier band.
+
+    Of two nodes outside the main component, which ask each other, the greater one counts.
+    """
+    asks = group.column("asks").to_numpy()
+    outside = group.column("outside").to_numpy()
+    band = group.column("band")[0].as_py()
+    drawn = np.frombuffer(b"".join(group.column("samples").to_pylist()), "<u4").reshape(
+        len(asks), -1)
+    rank, labels = (np.unique(np.array(group.column(c).to_pylist(), object),
+                              return_inverse=True)[1] for c in ("doc", "label"))
+    there = np.flatnonzero(~asks)
+    for q in np.flatnonzero(asks):
+        same = drawn[there] == drawn[q]
+        agree = same.sum(1)
+        near = np.flatnonzero((agree >= LEAST_AGREEING) & (labels[there] != labels[q])
+                              & (~outside[there] | (rank[there] < rank[q])))
+        first = same[near].reshape(len(near), SAMPLES // ROWS, ROWS).all(2).argmax(1)
+        near = near[first == band]
+        if len(near):
+            yield q, there[near[np.argsort(-agree[near], kind="stable")]], labels
+
+
+def _linked(group: pa.Table, sets: list[tuple], threshold: float):
+    """Row pairs whose similarity reaches ``threshold``, without those that only repeat that two
+    components are linked: every other candidate of the group is compared."""
+    at = np.cumsum([0, *(len(h) for h, _ in sets)])
+    names, place = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    weight = np.concatenate([w for _, w in sets]).astype(np.float64)
+    total = np.add.reduceat(weight, at[:-1])
+    mine, root = np.zeros(len(names)), None
+    for q, near, labels in _candidates(group):
+        root = np.arange(len(sets)) if root is None else root
+        own = place[at[q]:at[q + 1]]
+        mine[own] = weight[at[q]:at[q + 1]]
+        while len(near := near[root[labels[near]] != root[labels[q]]]):
+            now, near = near[:64], near[64:]
+            n = at[now + 1] - at[now]
+            starts = np.cumsum(n) - n
+            rows = np.arange(n.sum()) + np.repeat(at[now] - starts, n)
+            common = np.add.reduceat(np.minimum(mine[place[rows]], weight[rows]), starts)
+            told = common / (total[q] + total[now] - common)
+            # Sums of other precision are only trusted away from the threshold.
+            for c in now[told >= threshold - 1e-3]:
+                x, y = root[labels[q]], root[labels[c]]
+                if x != y and similarity(sets[q], sets[c]) >= threshold:
+                    root[root == y] = x
+                    yield q, c
+        mine[own] = 0
+
+
+def _other_components(buckets: DataFrame, labels: DataFrame, samples: DataFrame,
+                      there: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links (a, b) between the components of every bucket.
+
+    Nodes outside their bucket's main component are compared with the members of all others,
+    block by block.  Those that have a candidate get their text, and all their candidates are
+    verified in the task.  Of the links that hold it gives those that tie components together,
+    so rows do not grow with the square of a bucket.  After this pass every candidate of two
+    components has been verified, or links that hold join the two.
+    """
     named = cut(buckets.join(labels, buckets["doc"] == labels["node"], "left").select(
-        "key", "doc", "shared", F.coalesce("label", "doc").alias("label")))
+        "key", "band", "doc", "shared", F.coalesce("label", "doc").alias("label")))
     # Buckets that hold one component only need no look.
     open_ = named.groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high"),
@@ -298,37 +358,37 @@ def _other_components(buckets: DataFrame, labels: DataFrame, samples: DataFrame)
         "low < high").select("key", F.col("top.label").alias("main"),
                              F.ceil(F.col("n") / BLOCK).alias("blocks"),
                              F.ceil(F.col("n") / QUERIES).alias("turns"))
-    rows = cut(named.join(open_, "key").join(samples, "doc"))
-    member = rows.select(
-        "key", F.pmod(F.xxhash64("doc", "key"), "blocks").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"),
-        "doc", "label", "samples", F.lit(False).alias("asks"))
-    asking = rows.where("label != main").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("doc"), "turns").alias("turn"),
-        "doc", "label", "samples", F.lit(True).alias("asks"))
+    rows = cut(named.join(open_, "key").join(samples, "doc").withColumn(
+        "outside", F.expr("label != main")))
+    told = ["key", "band", "block", "turn", "doc", "label", "samples", "outside"]
+    member = rows.withColumn("block", F.pmod(F.xxhash64("doc", "key"), "blocks")).withColumn(
+        "turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(
+        *told, F.lit(False).alias("asks"))
+    asking = rows.where("outside").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+        "turn", F.pmod(F.xxhash64("doc"), "turns")).select(*told, F.lit(True).alias("asks"))
     kind = buckets.schema["doc"].dataType.simpleString()
 
-    def best(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy()
-        drawn = np.frombuffer(b"".join(group.column("samples").to_pylist()), "<u4").reshape(
-            len(asks), -1)
-        docs = np.array(group.column("doc").to_pylist(), object)
-        labels_ = np.unique(np.array(group.column("label").to_pylist(), object).astype(str),
-                            return_inverse=True)[1]
-        there, out = np.flatnonzero(~asks), []
-        for q in np.flatnonzero(asks) if len(there) else ():
-            agree = (drawn[there] == drawn[q]).sum(1)
-            agree[labels_[there] == labels_[q]] = -1
-            other = docs[there[int(agree.argmax())]]
-            if agree.max() >= LEAST_AGREEING:
-                out.append((max(docs[q], other), min(docs[q], other)))
+    def met(group: pa.Table) -> pa.Table:
+        used = np.zeros(group.num_rows, bool)
+        for q, near, _ in _candidates(group):
+            used[q] = used[near] = True
+        return group.filter(pa.array(used))
+
+    def compare(group: pa.Table) -> pa.Table:
+        w, sets = weights.value, []
+        for batch in pieces(group.to_batches(), "text"):
+            sets += [(h, w.of(h, c)) for h, c in Shingled(batch.column("text")).sets()]
+        docs = group.column("doc").to_pylist()
+        out = [sorted((docs[q], docs[c])) for q, c in _linked(group, sets, threshold)]
         form = group.schema.field("doc").type
-        return pa.table({"a": pa.array([x for x, _ in out], form),
-                         "b": pa.array([y for _, y in out], form)})
+        return pa.table({"a": pa.array([y for _, y in out], form),
+                         "b": pa.array([x for x, _ in out], form)})
 
-    return member.union(asking).groupBy("key", "block", "turn").applyInArrow(
-        best, f"a {kind}, b {kind}").distinct()
+    both = member.union(asking)
+    some = cut(both.groupBy("key", "block", "turn").applyInArrow(met, both.schema))
+    return some.join(there.withColumnRenamed("doc_id", "doc"), "doc").groupBy(
+        "key", "block", "turn").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
@@ -350,11 +410,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
             "r")).where("r is not null").select(
         "k1", "k2", F.col("r.doc_id").alias("doc"), "r.bands", "r.samples"))
     keyed = nodes.select("doc", F.posexplode("bands").alias("band", "hash")).select(
-        "doc", F.xxhash64("band", "hash").alias("key"))
+        "doc", "band", F.xxhash64("band", "hash").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut(keyed.join(sizes, "key"))
     shared = met.groupBy("doc").agg(F.sum("n").alias("shared"))
-    buckets = cut(met.join(shared, "doc").select("key", "doc", "shared"))
+    buckets = cut(met.join(shared, "doc").select("key", "band", "doc", "shared"))
     pivots = buckets.groupBy("key").agg(F.max(F.struct("shared", "doc")).alias("top"))
     tested = cut(buckets.join(pivots, "key").select(
         F.greatest("doc", "top.doc").alias("a"), F.least("doc", "top.doc").alias("b")).where(
@@ -363,8 +423,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     links = cut(verify(tested, there, weights, threshold))
     samples = nodes.select("doc", "samples")
     labels = cut(components(links))
-    more = cut(_other_components(buckets, labels, samples).join(tested, ["a", "b"], "left_anti"))
-    new = cut(verify(more, there, weights, threshold))
+    new = cut(_other_components(buckets, labels, samples, there, weights, threshold))
     labels = cut(components(links.union(new)))
     named = nodes.join(labels, nodes["doc"] == labels["node"], "left").select(
         "k1", "k2", F.coalesce("label", "doc").alias("class"))

@@ -107,6 +107,41 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def families(seed, count, members, words=160):
+    """Edited copies of templates, about as alike as the threshold asks: many components meet in
+    one bucket."""
+    rng = random.Random(seed)
+    docs = []
+    for _ in range(count):
+        base = text(words, rng)
+        for _ in range(members):
+            w = list(base)
+            for at in rng.sample(range(0, words, 6), rng.randint(1, 4)):
+                w[at] = rng.choice(VOCABULARY)
+            docs.append(" ".join(w))
+    return docs
+
+
+def exact_classes(spark, docs, threshold=0.8):
+    """Components of all pairs whose exact weighted similarity reaches the threshold."""
+    import pyarrow as pa
+
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    w = neardup.Weights(*neardup.frequencies(df))
+    sets = [(h, w.of(h, c)) for h, c in neardup.Shingled(pa.array(docs)).sets()]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2)
+             if neardup.similarity(sets[a], sets[b]) >= threshold]
+    label = union(pairs)
+    return df, [label.get(i, i) for i in range(len(docs))]
+
+
+def test_near_duplicates_of_many_components_in_a_bucket(spark):
+    df, want = exact_classes(spark, families(8, 4, 60))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    assert 4 < len(set(want)) < len(want)
+    assert [got[i] for i in range(len(want))] == want
+
+
 def test_near_duplicates_of_a_large_group_and_of_odd_rows(spark):
     rng = random.Random(2)
     base = text(150, rng)
