@@ -142,6 +142,12 @@ def test_near_duplicates_of_many_components_in_a_bucket(spark):
     assert [got[i] for i in range(len(want))] == want
 
 
+def test_one_repair_pass_leaves_no_bucket_open(spark):
+    docs = families(7, 3, 90)
+    df, want = exact_classes(spark, docs)
+    assert {r["doc_id"] for r in neardup.one_of_each(df).collect()} == set(want)
+
+
 def test_near_duplicates_of_a_large_group_and_of_odd_rows(spark):
     rng = random.Random(2)
     base = text(150, rng)
