@@ -13,7 +13,8 @@ an ``article`` or ``main`` element around the core always does.
 
 Before that, parts that are no article by their element, role, class or id are taken out of the
 tree: menus, headers and footers of the page, sidebars, notices, adverts, forms, comments,
-scripts and styles.  Inside the chosen subtree all other text is kept, whole.
+scripts and styles.  A class or id counts as a whole, and no part goes by it that holds the
+article.  Inside the chosen subtree all other text is kept, whole.
 """
 
 from __future__ import annotations
@@ -66,12 +67,15 @@ _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("name", "parts", "chars", "tags", "links", "link_tags", "density", "score")
+    __slots__ = ("name", "parts", "chars", "tags", "links", "link_tags", "density", "score",
+                 "other")
 
     def __init__(self, name: str):
         self.name, self.parts = name, []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.score = 0.0
+        #: Whether its class or id names another part of the page than the article.
+        self.other = False
 
 
 def _dropped(name: str, attributes: str, stack: list[Node]) -> bool:
@@ -90,12 +94,58 @@ def _dropped(name: str, attributes: str, stack: list[Node]) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if key in ("class", "id"):
-            if any(w.lower() in NO_CLASS for w in _WORDS.findall(value)):
-                return True
     return False
 
 
+def _named(name: str, attributes: str) -> bool:
+    """Whether a class, or the id, is made of words that name other parts of a page: ``sidebar``
+    and ``cookie-notice``, but not ``has-sidebar``."""
+    if name in ("html", "body", "article", "main"):
+        return False
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            for one in "".join(values).split():
+                words = _WORDS.findall(one)
+                if words and all(w.lower() in NO_CLASS for w in words):
+                    return True
+    return False
+
+
+def _prune(root: Node) -> None:
+    """Take out the parts named by class or id, but none that holds the article.
+
+    Such a part stays if it holds a ``main``; and where no ``article`` or ``main`` lies outside
+    such parts, if it holds an ``article`` or more than half of the body's plain characters.
+    Inside a part that stays the same holds again.
+    """
+    nodes = _below(root)
+    if not any(n.other for n in nodes):
+        return
+    plain, mains, articles = {}, {}, {}
+    for n in reversed(nodes):
+        below = [p for p in n.parts if isinstance(p, Node)]
+        plain[id(n)] = 0 if n.name == "a" else sum(map(lambda p: plain[id(p)], below)) + sum(
+            len(_BLANKS.sub("", html.unescape(p))) for p in n.parts if isinstance(p, str))
+        for told, name in ((mains, "main"), (articles, "article")):
+            told[id(n)] = (n.name == name) + sum(told[id(p)] for p in below)
+    tops = [root]
+    for top in tops:
+        # What lies below ``top``, but not inside a named part.
+        free, found = [top], []
+        for n in free:
+            for p in n.parts:
+                if isinstance(p, Node):
+                    (found if p.other else free).append(p)
+        marked = any(n.name in ("article", "main") for n in free)
+        for p in found:
+            p.other = not (mains[id(p)] or not marked and (
+                articles[id(p)] or 2 * plain[id(p)] > plain[id(root)]))
+            if not p.other:
+                tops.append(p)
+    for n in nodes:
+        n.parts = [p for p in n.parts if isinstance(p, str) or not p.other]
+
+
 def parse(page: str) -> Node:
     """The page's tree without the parts that are no article.  Any text gives a tree."""
     root = Node("body")
@@ -136,9 +186,11 @@ def parse(page: str) -> Node:
         if not gone and name not in VOID and _dropped(name, attributes, stack):
             gone = len(stack)
         elif not gone:
+            node.other = name not in VOID and _named(name, attributes)
             stack[-1].parts.append(node)
         if name not in VOID and not attributes.endswith("/"):
             stack.append(node)
+    _prune(root)
     return root
 
 

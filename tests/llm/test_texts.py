@@ -319,3 +319,20 @@ def test_pages(spark):
         len("long text " * 50000) - 1, 1}
     assert htmltext.main_text("<b>" * 3000 + "deep" + "<p>" * 3000) == "deep"
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_wrappers_with_names_of_other_parts_keep_the_article():
+    article = f"<article><h1>Head</h1><p>{'word ' * 80}end</p></article>"
+    plain = f"<div><h1>Head</h1><p>{'word ' * 80}end</p></div>"
+    ad = "<div class='ad'>buy</div><div class='cookie-notice'>we use</div>"
+    want = f"Head {'word ' * 80}end"
+    for mark in ("class='layout has-sidebar'", "class='no-sidebar'", "class=ad-free",
+                 "class='post-with-comments'", "id='social-media-report'", "class='sidebar'",
+                 "class='page widget'"):
+        for inner in (article, plain):
+            assert htmltext.main_text(f"<body><div {mark}>{ad}{inner}</div></body>") == want, mark
+        assert htmltext.main_text(f"<body>{ad}<div {mark}><div class=share>{article}</div></div>"
+                                  ) == want
+    comments = f"<div id='comments'><article>{'I disagree ' * 200}</article></div>"
+    assert htmltext.main_text(f"<body>{article}{comments}</body>") == want
+    assert htmltext.main_text(f"<div class='sidebar'>{article}{comments}</div>") == want
