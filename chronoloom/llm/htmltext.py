@@ -7,9 +7,11 @@ and the composite density
 
 with nLC = C - LC, LCb and Cb those of the body and zero counts taken as one.  A node's score is
 the sum of its child blocks' densities, and the node of the greatest score is the main subtree's
-core.  From there the way goes up towards the body: as long as the next node's density reaches
-half the core's, it takes part too (an article of several sections, a title above its text), and
-an ``article`` or ``main`` element around the core always does.
+core.  An ``article`` or ``main`` element around the core is taken, and the nodes above it whose
+density reaches half the core's.  Where there is none, the threshold is the least density on the
+way from the core to the body, and the body is taken with all blocks beside that way that reach
+it.  Of the others only those go whose characters are mostly those of links, so that headings,
+tables, lists and short sections stay.
 
 Before that, parts that are no article by their element, role, class or id are taken out of the
 tree: menus, headers and footers of the page, sidebars, notices, adverts, forms, comments,
@@ -250,7 +252,7 @@ def measure(root: Node) -> list[Node]:
 
 
 def main_node(root: Node) -> Node:
-    """The subtree of the article."""
+    """The subtree of the article.  Blocks of links beside it are taken out of the tree."""
     nodes = measure(root)
     parent = {id(p): n for n in nodes for p in n.parts if isinstance(p, Node)}
     # Of equal scores the first, which is the outer one and loses no text.
@@ -258,11 +260,17 @@ def main_node(root: Node) -> Node:
     way = [core]
     while way[-1] is not root:
         way.append(parent[id(way[-1])])
-    best = 0
-    while best + 1 < len(way) and way[best + 1].density >= core.density / 2:
-        best += 1
     marked = [i for i, n in enumerate(way) if n.name in ("article", "main")]
-    return way[max([best, *marked[:1]])]
+    if marked:
+        best = 0
+        while best + 1 < len(way) and way[best + 1].density >= core.density / 2:
+            best += 1
+        return way[max(best, marked[0])]
+    least = min(n.density for n in way)
+    for inner, outer in zip(way, way[1:]):
+        outer.parts = [p for p in outer.parts if isinstance(p, str) or p is inner
+                       or p.name in INLINE or p.density >= least or 2 * p.links <= p.chars]
+    return root
 
 
 def blocks_of(node: Node) -> list[str]:

@@ -336,3 +336,18 @@ def test_wrappers_with_names_of_other_parts_keep_the_article():
     comments = f"<div id='comments'><article>{'I disagree ' * 200}</article></div>"
     assert htmltext.main_text(f"<body>{article}{comments}</body>") == want
     assert htmltext.main_text(f"<div class='sidebar'>{article}{comments}</div>") == want
+
+
+def test_sections_without_an_article_element_stay_whole():
+    dense = "".join(f"<p>{'word ' * 120}p{i}</p>" for i in range(5))
+    table = "<table>" + "".join(f"<tr><td>cell{i}</td><td>v{i}</td></tr>" for i in range(20)
+                                ) + "</table>"
+    links = "<div>" + "".join(f"<a href=x>go{i}</a> " for i in range(30)) + "</div>"
+    parts = f"<h1>Head</h1><section>{dense}</section><section>{table}</section>"
+    more = "<section><h2>Code</h2><pre>x = 1</pre><ul><li>one<li>two <a>l</a></ul></section>"
+    for page in (f"<div>{parts}{more}</div>", f"{links}<div>{parts}{more}{links}</div>",
+                 f"<div><div>{parts}</div>{links}</div><div>{more}</div>"):
+        out = htmltext.main_text(f"<body>{page}</body>")
+        assert out.startswith("Head word") and out.endswith("Code x = 1 one two l")
+        assert all(f"p{i}" in out for i in range(5)) and "go1" not in out
+        assert all(f"cell{i} v{i}" in out for i in range(20))
