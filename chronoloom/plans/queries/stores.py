@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ... import rules
@@ -212,11 +213,17 @@ def unit_explanations(spark, folder):
 
 @query("rejoined_units")
 def rejoined_units(spark, folder):
-    """Pages of an order as interrupted documents, joined again; checked by brute force in the tests."""
+    """Pages of an order as interrupted documents, joined again; checked by brute force in the tests.
+
+    Every line item is a page, in the order of line number, part and quantity.
+    """
     from ...operators import units
 
-    page = tables.table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_quantity").cast("int").alias("q"), F.min("l_suppkey").cast("int").alias("s"))
+    # An order has some lines, so its window is small.
+    within = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
+    page = tables.table(spark, folder, "lineitem").select(
+        "l_orderkey", F.row_number().over(within).alias("l_linenumber"),
+        F.col("l_quantity").cast("int").alias("q"), F.col("l_suppkey").cast("int").alias("s"))
     label = F.when(F.col("q") % 4 != 3, F.struct((F.col("q") % 3 + 1).alias("k"), F.lit(3).alias("n")))
     single = page.select(
         F.lit("c").alias("case_id"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("bundle_id"),

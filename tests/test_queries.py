@@ -46,3 +46,8 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_rejoined_units_take_every_line_item(spark):
+    made = entry.queries()["rejoined_units"](spark, FOLDER).agg({"n_pages": "sum"}).collect()
+    assert made[0][0] == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
