@@ -14,6 +14,7 @@ from . import (
     mixing,
     neardup,
     packing,
+    phrases,
     pii,
     quality,
     search,
@@ -107,3 +108,43 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return search.search(docs, docs.where(F.col("doc_id") % 100 == 0))
+
+
+@query("op13_collocations", """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut),
+one AS (SELECT lang, w[i] AS p, count(*) AS f FROM places GROUP BY ALL),
+two AS (SELECT lang, w[i] AS p, w[i+1] AS q, count(*) AS f FROM places WHERE i < len(w) GROUP BY ALL),
+three AS (SELECT lang, w[i] AS p, w[i+1] AS q, w[i+2] AS s, count(*) AS f FROM places
+  WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+held AS (SELECT lang, p, q, max(f) AS f FROM (
+  SELECT lang, p, q, f FROM three UNION ALL SELECT lang, q, s, f FROM three) GROUP BY ALL),
+scored AS (
+  SELECT t.lang, t.p || ' ' || t.q AS phrase, t.f AS a, x.f AS l, y.f AS r, 1 AS k,
+    (1000000::HUGEINT * t.f * t.f) // (x.f::HUGEINT * y.f) AS score
+  FROM two t JOIN one x ON x.lang = t.lang AND x.p = t.p JOIN one y ON y.lang = t.lang AND y.p = t.q
+    LEFT JOIN held h ON h.lang = t.lang AND h.p = t.p AND h.q = t.q
+  WHERE t.f >= 10 AND (h.f IS NULL OR 100 * h.f < 50 * t.f)
+  UNION ALL
+  SELECT t.lang, t.p || ' ' || t.q || ' ' || t.s, t.f, x.f, y.f, 1,
+    (1000000::HUGEINT * t.f * t.f) // (x.f::HUGEINT * y.f)
+  FROM three t JOIN one x ON x.lang = t.lang AND x.p = t.p
+    JOIN two y ON y.lang = t.lang AND y.p = t.q AND y.q = t.s
+  UNION ALL
+  SELECT t.lang, t.p || ' ' || t.q || ' ' || t.s, t.f, x.f, y.f, 2,
+    (1000000::HUGEINT * t.f * t.f) // (x.f::HUGEINT * y.f)
+  FROM three t JOIN two x ON x.lang = t.lang AND x.p = t.p AND x.q = t.q
+    JOIN one y ON y.lang = t.lang AND y.p = t.s),
+weakest AS (SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine(table(spark, folder, "documents"))
