@@ -6,12 +6,14 @@ Counts come from depth-truncated suffix trees, built by vertical partitioning:
    level.  A bit map of fixed size marks the frequent ones; a rare word starts no tree and ends
    every suffix, since no phrase that holds it can be frequent.
 2. The suffixes, cut after three words, are written once, equal ones of a block of text as one
-   row with a count.  A prefix's rows are counted by a slot of its hash; a slot over the memory
-   budget is extended by a second and, if need be, a third word.  Slots are then packed into
-   groups within the budget, so that a word that starts a third of all suffixes is many groups.
+   with a count.  They are dealt by the hash of their first word into slots, and those of a block
+   and slot make one packet (an Arrow stream with dictionaries), so that a shuffle moves few and
+   small rows.  The packets of a slot over the memory budget are split by the second and, if need
+   be, the third word.  Slots are then packed into groups within the budget, so that a word that
+   starts a third of all suffixes is many groups.
 3. Each group sorts its suffixes, which gives the tree's leaves in order, and reads the counts
    of its nodes as sums over leaves.  Where prefixes have three words, the nodes of two words
-   above them are counted by a plain aggregation.
+   above them lie in several groups, whose sums are added.
 
 Words are compared as text everywhere; hashes only choose slots.
 """
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +34,12 @@ from .common import as_bytes, cut, pieces
 NO_LANG = "und"
 #: Bits of the map of frequent words (1 MB); a false mark costs a row, never a result.
 MARKS = 1 << 23
-#: Suffix rows that one group may hold.
+#: Suffixes that one group may hold.
 BUDGET = 1 << 19
-#: Words of one block, whose equal suffixes become one row.
-BLOCK = 1 << 22
+#: Words of one block, whose equal suffixes become one.
+BLOCK = 1 << 21
+#: Slots of prefixes of one word at least and at most, and what a longer prefix splits one into.
+SLOTS, SPLIT = (256, 1 << 16), 64
 
 # Byte classes: part of a word, blank, end of a piece.
 _WORD, _BLANK, _BREAK = 0, 1, 2
@@ -45,7 +50,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _WORDS = "lang string, word string, f long"
-_SUFFIXES = "lang string, w1 string, w2 string, w3 string, c long"
+_PACKETS = "s1 int, s2 int, s3 int, size long, packet binary"
+_NODES = "lang string, w1 string, w2 string, w3 string, f long, whole boolean"
 
 
 def tokens(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
@@ -142,139 +148,194 @@ def marks(words: DataFrame, least: int) -> np.ndarray:
     return out
 
 
-def _marked(bits: np.ndarray, lang: pa.Array, word: pa.Array) -> np.ndarray:
-    """Whether (language, word) is marked; the same hash as in ``_mark``."""
-    import xxhash
+def _hashes(lang: pa.Array, word: pa.Array) -> np.ndarray:
+    """Spark's xxhash64 of (language, word)."""
+    seeds = {one: xxhash.xxh64_intdigest(one.encode(), 42) for one in lang.unique().to_pylist()}
+    return np.array([xxhash.xxh64_intdigest(w.encode(), seeds[one])
+                     for one, w in zip(lang.to_pylist(), word.to_pylist())], np.uint64)
 
-    seeds: dict[str, int] = {}
-    at = np.empty(len(word), np.int64)
-    for i, (one, w) in enumerate(zip(lang.to_pylist(), word.to_pylist())):
-        seed = seeds.get(one)
-        if seed is None:
-            seed = seeds[one] = xxhash.xxh64_intdigest(one.encode(), 42)
-        at[i] = xxhash.xxh64_intdigest(w.encode(), seed) & (MARKS - 1)
-    # As in bitmap_bucket_number (from 1, 0 for the value 0 alone) and bitmap_bit_position.
+
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether words are marked, as in bitmap_bucket_number (from 1, 0 for the value 0 alone)
+    and bitmap_bit_position."""
+    at = (hashes & np.uint64(MARKS - 1)).astype(np.int64)
     bucket = np.where(at > 0, 1 + (at - 1) // 32768, 0)
     place = np.where(at > 0, (at - 1) % 32768, 0)
     return bits[bucket * 4096 + place // 8] >> (place % 8).astype(np.uint8) & 1 > 0
 
 
-def suffixes(slim: DataFrame, bits: np.ndarray, size: int = BLOCK) -> DataFrame:
-    """Suffixes of two or three words (w3 null: two) of marked words, and their counts c.
+def _packed(path: dict[str, tuple[np.ndarray, pa.Array]], c: np.ndarray) -> bytes:
+    """Suffixes as an Arrow stream: codes of each column (-1: null) with the words they stand for."""
+    columns = {}
+    for name, (code, words) in path.items():
+        told, own = np.unique(code, return_inverse=True)
+        none = int(len(told) > 0 and told[0] < 0)
+        columns[name] = pa.DictionaryArray.from_arrays(
+            pa.array((own - none).astype(np.int32), mask=code < 0 if none else None),
+            words.take(pa.array(told[none:])))
+    batch = pa.RecordBatch.from_pydict({**columns, "c": pa.array(c)})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema,
+                           options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packets: list[bytes]) -> tuple[dict[str, tuple[np.ndarray, pa.Array]], np.ndarray]:
+    """Several packets as one: path and counts."""
+    table = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in packets])
+    table = table.unify_dictionaries().combine_chunks()
+    path = {}
+    for name in ("lang", "w1", "w2", "w3"):
+        column = table.column(name).combine_chunks()
+        path[name] = (column.indices.fill_null(-1).to_numpy().astype(np.int64), column.dictionary)
+    return path, table.column("c").to_numpy()
+
+
+def _dealt(path: dict, c: np.ndarray, slot: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """The suffixes of each slot: slot, number, packet."""
+    order = np.argsort(slot, kind="stable")
+    edges = np.flatnonzero(np.diff(slot[order], prepend=-1, append=1 << 40))
+    for lo, hi in zip(edges, edges[1:]):
+        own = order[lo:hi]
+        yield int(slot[own[0]]), hi - lo, _packed(
+            {k: (code[own], words) for k, (code, words) in path.items()}, c[own])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(column), kind) for column, kind in zip(zip(*rows), kinds)],
+        names=["s1", "s2", "s3", "size", "packet"])
+
 
-    Equal suffixes of a block of text are one row.
-    """
+def suffixes(slim: DataFrame, bits: np.ndarray, slots: int = SLOTS[0],
+             size: int = BLOCK) -> DataFrame:
+    """Packets of suffixes of two or three words (w3 null: two) of marked words, by slot s1."""
     held = slim.sparkSession.sparkContext.broadcast(bits)
 
     def make(batches):
         for block in blocks(batches, size):
             code, goes_on, lang, word = block.close()
-            marked = _marked(held.value, lang, word)[code]
+            hashes = _hashes(lang, word)
+            marked = _marked(held.value, hashes)[code]
             two = np.zeros(len(code), bool)
             two[:-1] = marked[:-1] & marked[1:] & goes_on[1:]
             at = np.flatnonzero(two)
-            three = np.zeros(len(code), bool)
-            three[:-2] = two[:-2] & two[1:-1]
+            three = np.append(two[1:], False)[at]
             n = len(word) + 1
-            _, pair = np.unique(code[at] * n + code[np.minimum(at + 1, len(code) - 1)],
-                                return_inverse=True)
-            last = np.where(three[at], code[np.minimum(at + 2, len(code) - 1)], n - 1)
+            _, pair = np.unique(code[at] * n + code[at + 1], return_inverse=True)
+            last = np.where(three, code[np.minimum(at + 2, len(code) - 1)], -1)
             _, where, c = np.unique(pair * n + last, return_index=True, return_counts=True)
-            for lo in range(0, len(where), 1 << 17):
-                one = at[where[lo:lo + (1 << 17)]]
-                end = last[where[lo:lo + (1 << 17)]]
-                third = word.take(pa.array(end, mask=end == n - 1))
-                yield _batch(_SUFFIXES, lang.take(pa.array(code[one])),
-                             word.take(pa.array(code[one])), word.take(pa.array(code[one + 1])),
-                             third, c[lo:lo + (1 << 17)])
-
-    return slim.mapInArrow(make, _SUFFIXES)
-
-
-def slotted(leaves: DataFrame) -> DataFrame:
-    """Slots of the prefixes of one, two and three words: bits of the hash of the last word."""
-    def top(bits: int, *words: str) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(*words), 64 - bits).cast("int")
-
-    return leaves.withColumns({"s1": top(16, "lang", "w1"), "s2": top(8, "w2"), "s3": top(8, "w3")})
-
-
-def partition(leaves: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The suffixes with their ``part``, a group of prefixes of at most ``budget`` rows.
-
-    ``deep`` marks rows whose prefix has three words.  The driver packs slots, at most 2^16 and
-    2^8 for each slot over the budget, of which there are no more than rows / budget per level.
+            at, last = at[where], last[where]
+            path = {"lang": (code[at], lang), "w1": (code[at], word), "w2": (code[at + 1], word),
+                    "w3": (last, word)}
+            # Codes are of (language, word); a language has as many codes as words.
+            slot = (hashes[code[at]] >> np.uint64(48)).astype(np.int64) % slots
+            rows = []
+            for one, number, packet in _dealt(path, c, slot):
+                rows.append((one, None, None, number, packet))
+                if len(rows) == 64:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
+
+    return slim.mapInArrow(make, _PACKETS)
+
+
+def _extended(packets: DataFrame, depth: int) -> DataFrame:
+    """The packets split by the hash of their word number ``depth``."""
+    word = f"w{depth}"
+
+    def split(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                path, c = _unpacked([row["packet"]])
+                code, words = path[word]
+                slot_of = np.array([xxhash.xxh64_intdigest(w.encode()) % SPLIT
+                                    for w in words.to_pylist()] + [0], np.int64)
+                keys = (row["s1"],) if depth == 2 else (row["s1"], row["s2"])
+                rows = [((*keys, one, None)[:3] + (number, packet))
+                        for one, number, packet in _dealt(path, c, slot_of[code])]
+                yield _rows(rows)
+
+    return packets.mapInArrow(split, _PACKETS)
+
+
+def partition(packets: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The packets with their ``part``, a group of prefixes of at most ``budget`` suffixes.
+
+    Packets of a slot over the budget are split by one more word, twice at most; those whose
+    prefixes have three words have s3.  The driver packs slots: at most SLOTS[1], and SPLIT for
+    each one over the budget, of which there are no more than suffixes / budget.
     """
-    spark = leaves.sparkSession
-    leaves = slotted(leaves)
-    names, over, sizes, depths = ["s1", "s2", "s3"], None, [], []
+    spark, names = packets.sparkSession, ["s1", "s2", "s3"]
+    done, sizes = [], []
     for depth in (1, 2, 3):
         keys = names[:depth]
-        rows = leaves
-        if over is not None:
-            rows = rows.join(F.broadcast(over), keys[:-1], "left_semi")
-        told = rows.groupBy(keys).count().collect()
-        big = [r for r in told if r["count"] > budget and depth < 3]
-        sizes += [(r["count"], tuple(r)[:-1]) for r in told if r["count"] <= budget or depth == 3]
-        depths.append(depth)
+        told = [tuple(r) for r in packets.groupBy(keys).agg(F.sum("size")).collect()]
+        big = [r[:-1] for r in told if r[-1] > budget and depth < 3]
+        sizes += [r for r in told if r[-1] <= budget or depth == 3]
         if not big:
+            done.append(packets)
             break
-        over = spark.createDataFrame([tuple(r)[:-1] for r in big],
-                                     ", ".join(f"{k} int" for k in keys))
+        over = F.broadcast(spark.createDataFrame(big, ", ".join(f"{k} int" for k in keys)))
+        done.append(packets.join(over, keys, "left_anti"))
+        packets = cut(_extended(packets.join(over, keys, "left_semi").select(
+            *names, "size", "packet").repartition(max(1, len(big))), depth + 1))
     # Next fit over falling sizes: each group but the last is more than half full.
-    part, used, packed = 0, 0, {d: [] for d in depths}
-    for size, key in sorted(sizes, key=lambda x: (-x[0], x[1])):
-        if used and used + size > budget:
+    part, used, packed = 0, 0, []
+    for row in sorted(sizes, key=lambda r: (-r[-1], r[:-1])):
+        if used and used + row[-1] > budget:
             part, used = part + 1, 0
-        used += size
-        packed[len(key)].append((*key, part))
-    for depth in depths:
-        keys = names[:depth]
-        schema = ", ".join(f"{k} int" for k in (*keys, f"p{depth}"))
-        leaves = leaves.join(F.broadcast(spark.createDataFrame(packed[depth], schema)),
-                             keys, "left")
-    deep = F.col("p3").isNotNull() if 3 in depths else F.lit(False)
-    return leaves.select("lang", "w1", "w2", "w3", "c", deep.alias("deep"),
-                         F.coalesce(*(f"p{d}" for d in depths)).alias("part"))
+        used += row[-1]
+        packed.append((*row[:-1], *[-1] * (4 - len(row)), part))
+    given = F.broadcast(spark.createDataFrame(packed, "k1 int, k2 int, k3 int, part int"))
+    both = done[0].select(*names, "size", "packet")
+    for more in done[1:]:
+        both = both.unionByName(more.select(*names, "size", "packet"))
+    meet = [F.coalesce(n, F.lit(-1)) == F.col(f"k{i}") for i, n in enumerate(names, 1)]
+    return both.join(given, meet).select(*names, "size", "packet", "part")
 
 
-def nodes(leaves: DataFrame, least: int, budget: int = BUDGET) -> DataFrame:
+def nodes(packets: DataFrame, least: int, budget: int = BUDGET) -> DataFrame:
     """lang, w1, w2, w3 (null: a node of two words) and f of the trees' nodes with f >= least."""
-    parted = partition(leaves, budget)
-
     def tree(table: pa.Table) -> pa.Table:
-        # Words of all levels as codes of one dictionary.
-        table = table.combine_chunks()
-        columns = [table.column(c).combine_chunks().cast(pa.large_string())
-                   for c in ("lang", "w1", "w2", "w3")]
-        joint = pa.concat_arrays(columns).dictionary_encode()
-        code = joint.indices.fill_null(-1).to_numpy().astype(np.int64).reshape(4, -1)
-        c, deep = table.column("c").to_numpy(), table.column("deep").to_numpy()
+        deep = table.column("s3").null_count == 0
+        path, c = _unpacked(table.column("packet").to_pylist())
+        code = np.stack([x for x, _ in path.values()])
         order = np.lexsort(code[::-1])
-        code, c, deep = code[:, order], c[order], deep[order]
+        code, c = code[:, order], c[order]
         new = np.zeros(len(c), bool)
-        out = []
         new[:1] = True
+        out = []
         for level in range(4):
             # A node begins where its word, or one above it, is another one.
             new[1:] |= code[level, 1:] != code[level, :-1]
             if level < 2:
                 continue
             at = np.flatnonzero(new)
-            f = np.add.reduceat(c, at) if len(at) else c
-            keep = (f >= least) & (~deep[at] if level == 2 else code[3, at] >= 0)
+            f = np.add.reduceat(c, at)
+            whole = level == 3 or not deep
+            keep = (f >= least) | (not whole)
+            if level == 3:
+                keep &= code[3, at] >= 0
             at, f = at[keep], f[keep]
-            path = code[:, at].copy()
-            path[level + 1:] = -1
-            out.append(_batch(
-                _SUFFIXES.replace("c long", "f long"),
-                *(joint.dictionary.take(pa.array(x, mask=x < 0)) for x in path), f))
+            columns = {"f": pa.array(f), "whole": pa.array(np.full(len(f), whole))}
+            for i, (name, (_, words)) in enumerate(path.items()):
+                own = code[i, at] if i <= level else np.full(len(at), -1)
+                columns[name] = words.take(pa.array(own, mask=own < 0)).cast(pa.string())
+            out.append(pa.RecordBatch.from_pydict(
+                {name: columns[name] for name in ("lang", "w1", "w2", "w3", "f", "whole")}))
         return pa.Table.from_batches(out)
 
-    own = parted.groupBy("part").applyInArrow(tree, "lang string, w1 string, w2 string, w3 string, f long")
-    above = parted.where("deep").groupBy("lang", "w1", "w2").agg(F.sum("c").alias("f")).where(
-        F.col("f") >= least)
-    return own.unionByName(above, allowMissingColumns=True)
+    # A group's packets have prefixes of one length: deep ones are never packed with others.
+    parted = partition(packets, budget)
+    made = cut(parted.groupBy("part", F.col("s3").isNotNull()).applyInArrow(tree, _NODES))
+    added = made.where(~F.col("whole")).groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f"))
+    return made.where("whole").drop("whole").unionByName(
+        added.where(F.col("f") >= least), allowMissingColumns=True)
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -301,9 +362,10 @@ def mine(docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50,
     slim = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"),
                        F.coalesce("text", F.lit("")).alias("text"))
     words = cut(count_words(slim, block))
-    leaves = cut(suffixes(slim, marks(words, least), block))
-    found = cut(nodes(leaves, least, budget))
     often = words.where(F.col("f") >= least)
+    n_words = often.agg(F.coalesce(F.sum("f"), F.lit(0))).head()[0]
+    slots = min(SLOTS[1], max(SLOTS[0], 1 << (4 * n_words // budget).bit_length()))
+    found = nodes(cut(suffixes(slim, marks(words, least), slots, block)), least, budget)
     two = found.where(F.col("w3").isNull()).select("lang", "w1", "w2", F.col("f").alias("a"))
     three = found.where(F.col("w3").isNotNull()).withColumnRenamed("f", "a")
 

@@ -11,6 +11,7 @@ from . import (
     chat,
     htmltext,
     langid,
+    linequality,
     mixing,
     neardup,
     packing,
@@ -19,6 +20,7 @@ from . import (
     quality,
     search,
     tokencount,
+    whitening,
 )
 from .common import table
 
@@ -110,6 +112,16 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(docs, docs.where(F.col("doc_id") % 100 == 0))
 
 
+@query("op11_line_quality")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return linequality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @query("op13_collocations", """
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
