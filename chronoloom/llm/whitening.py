@@ -43,12 +43,13 @@ def on_grid(embeddings: DataFrame, id_col: str = "vec_id",
 
     Entries whose grid value has no 64 bits (2^55 and more) count as not finite.
     """
-    vectors = embeddings.select(
-        F.col(id_col).alias("vec_id"),
-        F.transform(F.col(vector_col), lambda c: c.cast("double")).alias("v"))
-    fits = F.forall("v", lambda c: F.coalesce(F.abs(c) < float(1 << 55), F.lit(False)))
-    return vectors.where(fits).select("vec_id", F.transform(
-        "v", lambda c: F.floor(c * STEP) + F.lit(SHIFT).cast("long")).alias("x"))
+    def place(c):
+        c = c.cast("double")
+        return F.when(F.abs(c) < float(1 << 55), F.floor(c * STEP) + F.lit(SHIFT).cast("long"))
+
+    return embeddings.select(
+        F.col(id_col).alias("vec_id"), F.transform(F.col(vector_col), place).alias("x")
+    ).where(F.forall("x", lambda c: c.isNotNull()))
 
 
 @dataclass
