@@ -98,11 +98,19 @@ def review_queue(rows: DataFrame, locators: DataFrame) -> DataFrame:
     return joined.withColumn("rank", review_rank())
 
 
-def plan_summary(units: DataFrame, bundles: DataFrame, pack: Pack) -> DataFrame:
-    """Per case: what a run would cover, and what in it needs a look."""
+#: What a plan counts of units.
+PLAN_COUNTS = ("units", "undated", "ambiguous", "illegible", "unclassified", "non_contiguous",
+               "excluded_by_rule", "off_by_toggle", "units_in_other_regime")
+
+
+def plan_tally(units: DataFrame, bundles: DataFrame, pack: Pack) -> DataFrame:
+    """(case_id, bundle_id): the plan's counts of one bundle; they add up over bundles.
+
+    ``bundles``: case_id, bundle_id, page_count.
+    """
     off = pack.switched_off
     toggled = F.col("doc_class").isin(*off) if off else F.lit(False)
-    counts = units.groupBy("case_id").agg(
+    counts = units.groupBy("case_id", "bundle_id").agg(
         F.count(F.lit(1)).alias("units"),
         F.count_if(F.col("date_status") == "undated").alias("undated"),
         F.count_if(F.col("date_status") == "ambiguous").alias("ambiguous"),
@@ -112,9 +120,20 @@ def plan_summary(units: DataFrame, bundles: DataFrame, pack: Pack) -> DataFrame:
         F.count_if(F.col("excluded_by").isNotNull()).alias("excluded_by_rule"),
         F.count_if(toggled).alias("off_by_toggle"),
         F.count_if(F.col("regime") != pack.id).alias("units_in_other_regime"))
-    size = bundles.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("bundles"), F.sum("page_count").alias("pages"))
-    out = size.join(counts, "case_id", "left").fillna(0)
+    return bundles.select("case_id", "bundle_id", "page_count").join(
+        counts, ["case_id", "bundle_id"], "left").fillna(0)
+
+
+def plan_summary(units: DataFrame, bundles: DataFrame, pack: Pack) -> DataFrame:
+    """Per case: what a run would cover, and what in it needs a look."""
+    return plan_from(plan_tally(units, bundles, pack), pack)
+
+
+def plan_from(tallies: DataFrame, pack: Pack) -> DataFrame:
+    """The plan of every case from the tallies of its bundles."""
+    out = tallies.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("bundles"), F.sum("page_count").alias("pages"),
+        *[F.sum(n).alias(n) for n in PLAN_COUNTS])
     flags = F.array_join(F.array_compact(F.array(*[
         F.when(F.col(n) > 0, F.concat_ws(" ", F.col(n).cast("string"), F.lit(n)))
         for n in ("undated", "ambiguous", "illegible", "unclassified", "non_contiguous")])), ", ")

@@ -22,7 +22,7 @@ SETTINGS = manifest.Settings(today=TODAY, screen=True)
 
 WRITTEN = """
 p0 AS (
-  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS page,
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey, l_shipdate) AS page,
     l_returnflag AS flag, l_linestatus AS status,
     CAST(l_shipdate AS DATE) AS day, CAST(l_quantity AS INTEGER) AS qty, l_suppkey AS supp
   FROM lineitem),
@@ -58,7 +58,7 @@ def _with(*parts: str) -> str:
 
 def _manifest(spark, folder) -> manifest.Manifest:
     found = shared(spark, folder, "typed_blocks", lambda: blocks.from_lines(
-        tables.written_lines(spark, folder)))
+        tables.written_lines(tables.table(spark, folder, "lineitem"), tables.table(spark, folder, "orders"))))
     built = None
 
     def make():
@@ -144,6 +144,66 @@ def casefile_fields(spark, folder) -> DataFrame:
     return _chronology(spark, folder).records.select("unit_id", "stage", "field", "value")
 
 
+ROWS = """
+bk AS (SELECT ud.*, 'row_' || substr(sha256(case_id || '|' || CASE
+    WHEN doc_class = 'rapport_imagerie' THEN '["study","' || row_date || '","' || coalesce(author, '') || '","' || doc_class || '"]'
+    ELSE '["encounter","' || row_date || '","' || coalesce(author, '') || '"]' END), 1, 20) AS row_id,
+    CASE doc_class WHEN 'rapport_imagerie' THEN 'Rapport d''imagerie' WHEN 'rapport_medical' THEN 'Rapport médical'
+      WHEN 'note_consultation' THEN 'Note de consultation' ELSE 'Document non classé' END AS label FROM ud)"""
+
+# Lines that stand in the pages (those that may be printed), which of them are kept, and which
+# of them, or of the fields read from them, a row prints.
+BULLETS = """
+pg AS (SELECT cu.unit_id, cu.n_pages, cu.flag = 'R' AND cu.status = 'F' AS form, p.*
+  FROM cu JOIN p ON p.l_orderkey = cu.l_orderkey AND p.first_page = cu.first_page),
+ln AS (
+  SELECT unit_id, n_pages, l_orderkey, page, status, 2 AS ord, CASE flag
+      WHEN 'R' THEN 'Vu le ' || day(day) || ' ' || (['janvier', 'février', 'mars', 'avril', 'mai', 'juin', 'juillet', 'août',
+        'septembre', 'octobre', 'novembre', 'décembre'])[month(day)] || ' ' || year(day) || ' en clinique'
+      WHEN 'A' THEN 'Date de l''examen: ' || day ELSE 'Date de la visite: ' || strftime(day, '%d/%m/%Y') END AS text FROM pg
+  UNION ALL SELECT unit_id, n_pages, l_orderkey, page, status, 3, 'Date de l''événement: ' || o_day FROM pg WHERE qty % 5 = 0
+  UNION ALL SELECT unit_id, n_pages, l_orderkey, page, status, 5, CASE qty % 4
+      WHEN 0 THEN 'Le patient note une amélioration de la douleur lombaire.'
+      WHEN 1 THEN 'Tableau clinique stationnaire depuis la dernière évaluation médicale.'
+      WHEN 2 THEN 'Une rechute est survenue pendant le retour progressif au'
+      ELSE 'Douleur lombaire à l''effort et sommeil correct.' END FROM pg
+  UNION ALL SELECT unit_id, n_pages, l_orderkey, page, status, 6, 'travail cette semaine.' FROM pg WHERE qty % 4 = 2
+  UNION ALL SELECT unit_id, n_pages, l_orderkey, page, status, 7, 'Constat numéro ' || qty || ' noté au dossier.' FROM pg),
+fu AS (SELECT unit_id, text FROM ln GROUP BY unit_id, text
+  HAVING max(n_pages) > 1 AND count(DISTINCT page) >= greatest(2, ceil(max(n_pages) * 0.75))),
+kl AS (SELECT ln.*, ord > 4 OR status <> 'F' AS inside FROM ln ANTI JOIN fu USING (unit_id, text)),
+kept AS (SELECT * FROM kl WHERE inside OR unit_id NOT IN (SELECT unit_id FROM kl WHERE inside)),
+said AS (SELECT unit_id, l_orderkey, page, qty % 4 AS s, count(*) OVER (PARTITION BY unit_id, qty % 4) AS times FROM pg),
+rec AS (
+  SELECT unit_id, l_orderkey, page, 8 AS ord, '4a|consolidation' AS field_key, 'Consolidation : ' || CASE qty % 3
+      WHEN 0 THEN 'oui' WHEN 1 THEN 'non' ELSE 'trop tôt pour se prononcer' END AS text,
+    'template.1918@2011-11.consolidation' AS rule, CASE qty % 3 WHEN 0 THEN 14 WHEN 1 THEN 22 ELSE 0 END AS span_start,
+    CASE qty % 3 WHEN 0 THEN 21 ELSE 29 END AS span_end FROM pg WHERE form AND page = first_page
+  UNION ALL SELECT unit_id, l_orderkey, page, 5, '4c|trajectory', t, 'field.trajectory', 0, length(t) FROM (
+    SELECT unit_id, arg_min(l_orderkey, page) AS l_orderkey, min(page) AS page, CASE arg_min(s, page)
+      WHEN 0 THEN 'Le patient note une amélioration de la douleur lombaire.'
+      ELSE 'Tableau clinique stationnaire depuis la dernière évaluation médicale.' END AS t
+    FROM said WHERE s IN (0, 1) AND times = 1 GROUP BY unit_id)
+  UNION ALL SELECT unit_id, l_orderkey, page, 5, '4c|intercurrent_event',
+    'Événement intercurrent : Une rechute est survenue pendant le retour progressif au', 'field.intercurrent_event', 0, 56
+    FROM said WHERE s = 2 AND times = 1
+  UNION ALL SELECT unit_id, l_orderkey, page, 6, '4c|intercurrent_event.cont1', 'travail cette semaine.',
+    'field.intercurrent_event', 0, 22 FROM said WHERE s = 2 AND times = 1),
+cand AS (
+  SELECT unit_id, l_orderkey, page, ord, 0 AS kind, field_key, text, rule, span_start, span_end, CASE
+      WHEN field_key = '4a|consolidation' THEN 'CONSOLIDATION [' || CASE WHEN text LIKE '%oui' THEN 'x' ELSE ' ' END
+        || '] Oui [' || CASE WHEN text LIKE '%non' THEN 'x' ELSE ' ' END || '] Non'
+      ELSE replace(text, 'Événement intercurrent : ', '') END AS raw FROM rec
+  UNION ALL SELECT unit_id, l_orderkey, page, ord, 1, '', text, 'assemble.transcribe_line', 0, length(text), text
+  FROM kept ANTI JOIN rec USING (unit_id, page, ord)),
+bl AS (
+  SELECT *, 'blk_' || substr(sha256('o' || l_orderkey || '|' || page || '|' || ord || '|' || raw), 1, 20) AS block_id,
+    row_number() OVER (PARTITION BY row_id, text ORDER BY 'o' || l_orderkey, first_page, kind, field_key, page, ord) AS rn
+  FROM cand JOIN (SELECT row_id, unit_id, first_page FROM bk) USING (unit_id)),
+bu AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY 'o' || l_orderkey, first_page, kind, field_key, page, ord) - 1 AS pos
+  FROM bl WHERE rn = 1)"""
+
+
 @query("casefile_rows", _with(WRITTEN, """
 ev AS (SELECT DISTINCT cu.case_id, cu.unit_id, p.o_day AS d
   FROM cu JOIN p ON p.l_orderkey = cu.l_orderkey AND p.first_page = cu.first_page WHERE p.qty % 5 = 0),
@@ -176,8 +236,10 @@ def casefile_rows(spark, folder) -> DataFrame:
         text_date("claim_event"), "claim_rule")
 
 
-@query("casefile_bullets")
+@query("casefile_bullets", _with(WRITTEN, ROWS, BULLETS) + """
+SELECT row_id, pos, text, 1.0::DOUBLE AS confidence, rule, block_id, CAST(span_start AS INTEGER) AS span_start,
+  CAST(span_end AS INTEGER) AS span_end FROM bu""")
 def casefile_bullets(spark, folder) -> DataFrame:
-    """The printed lines of all rows, numbered; their parts are checked one by one elsewhere."""
+    """The printed lines of all rows, numbered, with the place each one cites."""
     return _chronology(spark, folder).bullets.select(
         "row_id", "pos", "text", "confidence", "rule", "block_id", "span_start", "span_end")

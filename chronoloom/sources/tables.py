@@ -170,11 +170,11 @@ STATEMENTS = (
 )
 
 
-def written_pages(spark: SparkSession, folder: str) -> DataFrame:
+def written_pages(items: DataFrame, orders: DataFrame) -> DataFrame:
     """One page per line item, in the order of line number, part and quantity: what it says."""
-    items, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
     # An order has some lines, so its window is small.
-    within = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    within = W.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_quantity", "l_suppkey", "l_shipdate")
     page = items.select(
         "l_orderkey", F.row_number().over(within).alias("l_linenumber"),
         F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
@@ -185,9 +185,9 @@ def written_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.to_date("o_orderdate").alias("o_day")), "l_orderkey")
 
 
-def written_lines(spark: SparkSession, folder: str) -> DataFrame:
+def written_lines(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Case files in the words the rules look for, one bundle per order."""
-    p = written_pages(spark, folder)
+    p = written_pages(items, orders)
     day, qty = F.col("day"), F.col("qty")
     opens = F.col("status") == "F"
     month = F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.month(day))
