@@ -63,7 +63,7 @@ class Model:
         self.entries = np.array([
             (j, place[g[:-1]], g[-1], n) for j, own in enumerate(counts)
             for k in range(1, order + 2) for g, n in own[k].items() if g[:-1] in place
-        ], dtype=np.int64).reshape(-1, 4)
+        ], dtype=np.int32).reshape(-1, 4)
 
     def compiled(self) -> tuple[np.ndarray, np.ndarray]:
         """Next states [state, byte] and code lengths in bits [state, byte, language].
@@ -72,30 +72,31 @@ class Model:
         """
         place = {c: i for i, c in enumerate(self.contexts)}
         n_states, n_langs = len(self.contexts), len(self.languages)
-        step = np.zeros((n_states, 256), np.int32)
-        count = np.zeros((n_langs, n_states, 256), np.float32)
-        e = self.entries
-        count[e[:, 0], e[:, 1], e[:, 2]] = e[:, 3]
-        total, kinds = count.sum(2), (count > 0).sum(2)
-        bits = np.empty((n_states, 256, n_langs), np.float32)
+        # The tables are filled in place, one context after the other: a worker holds them once.
+        step = np.zeros((n_states, 257), np.int32)
+        bits = np.zeros((n_states, 257, n_langs), np.float32)
+        e = self.entries[np.argsort(self.entries[:, 1], kind="stable")]
+        edge = np.searchsorted(e[:, 1], np.arange(n_states + 1))
         longer: dict[bytes, list[int]] = {}
         for i, c in enumerate(self.contexts[1:], 1):
             longer.setdefault(c[:-1], []).append(i)
         for i, c in enumerate(self.contexts):
+            own = e[edge[i]:edge[i + 1]]
+            count = np.zeros((256, n_langs), np.float32)
+            count[own[:, 2], own[:, 0]] = own[:, 3]
             # A context is reached from the one without its last byte, else from a shorter one.
             shorter = place[c[1:]] if c else 0
             step[i] = step[shorter]
             for k in longer.get(c, ()):
                 step[i, self.contexts[k][-1]] = k
-            below = bits[shorter] if c else np.full((256, n_langs), 8, np.float32)
-            n, t = total[:, i], kinds[:, i]
+            below = bits[shorter, :256] if c else np.full((256, n_langs), 8, np.float32)
+            n, t = count.sum(0), (count > 0).sum(0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                own = np.log2(n + t) - np.log2(count[:, i].T)
+                seen = np.log2(n + t) - np.log2(count)
                 # Where a context was never seen, going on to the shorter one costs nothing.
                 escape = np.where(n > 0, np.log2(n + t) - np.log2(t), 0)
-                bits[i] = np.where(count[:, i].T > 0, own, below + escape)
-        step = np.hstack([step, np.zeros((n_states, 1), np.int32)])
-        return step, np.concatenate([bits, np.zeros((n_states, 1, n_langs), np.float32)], 1)
+                bits[i, :256] = np.where(count > 0, seen, below + escape)
+        return step, bits
 
 
 _COMPILED: dict[str, tuple] = {}
