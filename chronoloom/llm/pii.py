@@ -51,8 +51,10 @@ def _digits(text: str) -> str:
 
 def valid_ip(text: str) -> bool:
     parts = text.split(".")
+    # Zeros in front do not count; a part may have more digits than an int() takes.
     return len(parts) == 4 and all(
-        p.isdecimal() and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+        p.isdecimal() and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255
+        for p in parts)
 
 
 def valid_card(text: str) -> bool:

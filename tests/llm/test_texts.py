@@ -351,3 +351,9 @@ def test_sections_without_an_article_element_stay_whole():
         assert out.startswith("Head word") and out.endswith("Code x = 1 one two l")
         assert all(f"p{i}" in out for i in range(5)) and "go1" not in out
         assert all(f"cell{i} v{i}" in out for i in range(20))
+
+
+def test_addresses_with_endless_zeros_are_rows_like_others(spark):
+    texts = ["1.2.3." + "0" * 5000, "1.2.3." + "0" * 5000 + "7", "1.2.3." + "9" * 5000, "0000.1.2.003"]
+    assert [len(pii.base_spans(t)) for t in texts] == [1, 1, 0, 1]
+    assert [pii.valid_ip(t) for t in texts] == [True, True, False, True]
