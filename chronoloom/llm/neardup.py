@@ -350,14 +350,15 @@ def _other_components(buckets: DataFrame, labels: DataFrame, samples: DataFrame,
     components has been verified, or links that hold join the two.
     """
     named = cut(buckets.join(labels, buckets["doc"] == labels["node"], "left").select(
-        "key", "band", "doc", "shared", F.coalesce("label", "doc").alias("label")))
+        "key", "band", "doc", F.coalesce("label", "doc").alias("label")))
     # Buckets that hold one component only need no look.
-    open_ = named.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"),
-        F.max(F.struct("shared", "label")).alias("top"), F.count(F.lit(1)).alias("n")).where(
-        "low < high").select("key", F.col("top.label").alias("main"),
-                             F.ceil(F.col("n") / BLOCK).alias("blocks"),
-                             F.ceil(F.col("n") / QUERIES).alias("turns"))
+    open_ = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts"),
+        F.sum("n").alias("n")).where("parts > 1").select(
+        # The main component is the largest: as few nodes as can be ask, and members are
+        # copied once for every QUERIES nodes that ask.
+        "key", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"),
+        F.ceil((F.col("n") - F.col("top.n")) / QUERIES).alias("turns"))
     rows = cut(named.join(open_, "key").join(samples, "doc").withColumn(
         "outside", F.expr("label != main")))
     told = ["key", "band", "block", "turn", "doc", "label", "samples", "outside"]
