@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.ordered import first_by
+from .rejoin import rejoin
 
-_REJOIN_IN = (
-    "bundle_id", "group_start", "last_page", "first_k", "first_n", "first_serial",
-    "first_author", "last_k", "last_n", "last_serial", "last_author",
-)
-
+__all__ = ["page_groups", "rejoin", "unit_spans", "unit_pages", "unit_blocks", "headline",
+           "unlabelled_pages", "build", "tally", "listing"]
 
 def page_groups(grouped: DataFrame) -> DataFrame:
     """One row per run of pages, with what its first and last page say."""
@@ -31,57 +28,6 @@ def page_groups(grouped: DataFrame) -> DataFrame:
     )
 
 
-def _continues(host: dict, part: dict) -> bool:
-    if host["last_n"] == part["first_n"] and host["last_k"] + 1 == part["first_k"]:
-        return True
-    for name in ("serial", "author"):
-        theirs, ours = host[f"last_{name}"], part[f"first_{name}"]
-        if theirs and ours:
-            return theirs == ours
-    return False
-
-
-def _attach(frame: pd.DataFrame) -> pd.DataFrame:
-    """Send each later sheet to the nearest earlier run it goes on from, last run first."""
-    frame = frame.sort_values("group_start")
-    frame = frame.fillna({"first_k": 0, "first_n": 0, "last_k": -9, "last_n": -9})
-    live = frame.astype(object).where(frame.notna(), None).to_dict("records")
-    members = {r["group_start"]: [r["group_start"]] for r in live}
-    at = len(live) - 1
-    while at > 0:
-        part = live[at]
-        host = None
-        if part["first_k"] and part["first_k"] != 1:
-            host = next((h for h in reversed(live[:at]) if _continues(h, part)), None)
-        if host is not None:
-            members[host["group_start"]] += members.pop(part["group_start"])
-            if part["last_page"] > host["last_page"]:
-                host.update({k: part[k] for k in part if k.startswith("last_")})
-            del live[at]
-        at -= 1
-    rows = [(start, host) for host, starts in members.items() for start in starts]
-    out = pd.DataFrame(rows, columns=["group_start", "host_start"])
-    out.insert(0, "bundle_id", frame["bundle_id"].iloc[0])
-    return out
-
-
-def rejoin(groups: DataFrame) -> DataFrame:
-    """Groups with ``host_start``: the run their document opens with.
-
-    Attaching is sequential inside a bundle, as a host's last page changes with every part it
-    takes in.  Only bundles that hold an interrupted part are visited, with one slim row per
-    run; the rest of the corpus passes by.
-    """
-    orphans = groups.filter(F.col("first_k") > 1).select("bundle_id").distinct()
-    visited = groups.join(orphans, "bundle_id", "left_semi").select(*_REJOIN_IN)
-    moved = visited.groupBy("bundle_id").applyInPandas(
-        _attach, "bundle_id string, group_start int, host_start int"
-    ).filter("host_start <> group_start")
-    return groups.join(moved, ["bundle_id", "group_start"], "left").withColumn(
-        "host_start", F.coalesce("host_start", "group_start")
-    )
-
-
 def unit_spans(groups: DataFrame) -> DataFrame:
     """One row per unit: id, page runs, first page, page count.
 

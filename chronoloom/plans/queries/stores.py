@@ -211,9 +211,29 @@ def unit_explanations(spark, folder):
             ("audit", "n_audit"))], "folder_label")
 
 
-@query("rejoined_units")
+@query("rejoined_units", """
+WITH RECURSIVE pg AS (
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS page,
+    CAST(l_quantity AS INTEGER) AS q, l_suppkey AS s FROM lineitem),
+run AS (SELECT l_orderkey, page, CASE WHEN q % 4 <> 3 THEN q % 3 + 1 END AS k,
+    CASE WHEN s % 3 = 0 THEN s % 5 END AS a FROM pg),
+st AS (
+  SELECT l_orderkey, list({'k': k, 'lk': k, 'a': a, 'la': a, 'z': page, 'pages': [page]} ORDER BY page) AS runs,
+    CAST(count(*) AS BIGINT) AS i FROM run GROUP BY 1
+  UNION ALL
+  SELECT l_orderkey, CASE WHEN h IS NULL THEN runs ELSE list_transform(
+      list_filter(range(1, len(runs) + 1), lambda j: j <> i), lambda j: CASE WHEN j <> h THEN runs[j] ELSE {
+        'k': runs[j].k, 'lk': CASE WHEN runs[i].z > runs[j].z THEN runs[i].lk ELSE runs[j].lk END, 'a': runs[j].a,
+        'la': CASE WHEN runs[i].z > runs[j].z THEN runs[i].la ELSE runs[j].la END, 'z': greatest(runs[i].z, runs[j].z),
+        'pages': list_sort(runs[j].pages || runs[i].pages)} END) END, i - 1
+  FROM (SELECT *, CASE WHEN runs[i].k > 1 THEN list_max(list_filter(range(1, i), lambda j:
+      coalesce(runs[j].lk + 1 = runs[i].k, FALSE) OR coalesce(runs[j].la = runs[i].a, FALSE))) END AS h FROM st WHERE i > 1)),
+un AS (SELECT 'o' || l_orderkey AS bundle_id, unnest(list_transform(runs, lambda r: r.pages)) AS pages FROM st WHERE i = 1)
+SELECT 'unit_' || substr(sha256(bundle_id || ':' || list_aggregate(list_transform(pages, lambda x: x || '-' || x || '-1'),
+    'string_agg', ',')), 1, 20) AS unit_id, bundle_id, CAST(pages[1] AS INTEGER) AS first_page, CAST(len(pages) AS BIGINT) AS n_pages,
+  len(pages) = pages[len(pages)] - pages[1] + 1 AS contiguous FROM un""")
 def rejoined_units(spark, folder):
-    """Pages of an order as interrupted documents, joined again; checked by brute force in the tests.
+    """Pages of an order as interrupted documents, joined again.
 
     Every line item is a page, in the order of line number, part and quantity.
     """

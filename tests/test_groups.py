@@ -103,13 +103,13 @@ def _rejoin(groups):
     return sorted(tuple(x["p"]) for x in live)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_rejoin(spark, seed):
+@pytest.mark.parametrize("seed,chunk", [(0, 1 << 14), (1, 1 << 14), (2, 3), (3, 4), (4, 1)])
+def test_rejoin(spark, seed, chunk):
     rng = random.Random(seed)
     rows, want = [], []
     for b in range(25):
         groups, page = [], 1
-        for _ in range(rng.randint(1, 9)):
+        for _ in range(rng.randint(1, 14 if chunk > 1 else 6)):
             label = rng.choice([None, (1, 3), (2, 3), (3, 3), (2, 2)])
             author = rng.choice([None, None, "x", "y"])
             groups.append(([page], label, label, author))
@@ -121,10 +121,55 @@ def test_rejoin(spark, seed):
         "case_id string, bundle_id string, group_start int, last_page int, n_pages long, first_k int,"
         " first_n int, first_serial string, first_author string, last_k int, last_n int,"
         " last_serial string, last_author string"))
-    spans = units.unit_spans(units.rejoin(df)).collect()
+    spans = units.unit_spans(units.rejoin(df, chunk)).collect()
     assert sorted((r.bundle_id, tuple(s.first for s in r.spans)) for r in spans) == sorted(want)
 
 
+def _swept(rows):
+    """One file from its last run to its first, each part looked for among all runs before it."""
+    live = [dict(k=k, n=n, s=s, a=a, lk=k, ln=n, ls=s, la=a, p=[i]) for i, (k, n, s, a) in enumerate(rows)]
+    for i in range(len(live) - 1, 0, -1):
+        part = live[i]
+        if part["k"] is None or part["k"] <= 1:
+            continue
+        for host in reversed(live[:i]):
+            chain = host["lk"] is not None and (host["ln"], host["lk"] + 1) == (part["n"], part["k"])
+            if host["ls"] and part["s"]:
+                hand = host["ls"] == part["s"]
+            else:
+                hand = bool(host["la"]) and host["la"] == part["a"]
+            if chain or hand:
+                if max(part["p"]) > max(host["p"]):
+                    host.update({k: part[k] for k in ("lk", "ln", "ls", "la")})
+                host["p"] += part["p"]
+                live.pop(i)
+                break
+    return sorted((min(x["p"]), p) for x in live for p in x["p"] if p != min(x["p"]))
+
+
+def test_rejoin_of_one_large_file(spark):
+    """Many runs of one file in chunks: serials, authors and long chains of sheets."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(4000):
+        k = rng.choice([None, 1, 1, 2, 3, 4])
+        rows.append((k, rng.choice([4, 5, 6]) if k else None, rng.choice([None, None, *"stuvw"]),
+                     rng.choice([None, *"abcdefgh"])))
+    # A chain of forty sheets whose parts lie far apart.
+    for k in range(1, 41):
+        rows[100 * (k - 1)] = (k, 99, None, None)
+    want = _swept(rows)
+    assert len(want) > 1500
+    df = spark.createDataFrame(
+        [("c", "b", i, i, 1, k, n, s, a, k, n, s, a) for i, (k, n, s, a) in enumerate(rows)], (
+            "case_id string, bundle_id string, group_start int, last_page int, n_pages long, first_k int,"
+            " first_n int, first_serial string, first_author string, last_k int, last_n int,"
+            " last_serial string, last_author string"))
+    for chunk in (1 << 14, 1000):
+        moved = units.rejoin(df, chunk).where("host_start <> group_start").collect()
+        assert sorted((r["host_start"], r["group_start"]) for r in moved) == want
+
+
 def test_unit_match_follows_the_key_order(spark):
     rng = random.Random(2)
     pairs, gold, us, want = [], [], [], {}
