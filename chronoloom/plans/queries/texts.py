@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ...functions import text as tx
 from ...operators import (
-    blocks, boundaries, classify, cues, dates, duplicates, pages, selection, units, worklist,
+    blocks, boundaries, classify, cues, dates, duplicates, pages, selection, tree_prints, units,
+    worklist,
 )
 from ...operators.matching import document_hits
 from ...sources import tables
 from .probe import PROBE, REGIMES
-from .registry import ORACLES, shared
+from .registry import ORACLES, shared, text_date
 from .registry import query as plain_query
 
 # --- SQL shared by the statements below -----------------------------------------------------
@@ -732,13 +733,17 @@ d AS (SELECT doc_id::VARCHAR AS unit_id, 'all' AS case_id, lang AS doc_class,
   FROM documents LEFT JOIN pr ON pr.bundle_id = doc_id::VARCHAR LEFT JOIN sm ON sm.bundle_id = doc_id::VARCHAR)"""
 
 
-def prints(spark, folder) -> DataFrame:
+def document_units(spark, folder) -> DataFrame:
     """Documents as units of one case: class = language, date from the length."""
-    docs = tables.table(spark, folder, "documents").select(
+    return tables.table(spark, folder, "documents").select(
         F.lit("all").alias("case_id"), F.col("doc_id").cast("string").alias("unit_id"),
         F.col("doc_id").cast("string").alias("bundle_id"), F.col("lang").alias("doc_class"),
         F.date_add(F.lit("2020-01-01").cast("date"), (F.col("n_chars") % 30).cast("int")).alias("row_date"),
         F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("form_serial"))
+
+
+def prints(spark, folder) -> DataFrame:
+    docs = document_units(spark, folder)
     lines = doc_blocks(spark, folder).withColumn("unit_id", F.col("bundle_id"))
     return shared(spark, folder, "prints", lambda: duplicates.fingerprints(lines, docs))
 
@@ -752,6 +757,22 @@ def unit_fingerprint(spark, folder):
         F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("content_id"))
 
 
+@query("tree_fingerprint", PRINTS + """
+SELECT unit_id, doc_class, row_date::VARCHAR AS row_date, min(unit_id) OVER (PARTITION BY content) AS same_content,
+  min(unit_id) OVER (PARTITION BY stamps) AS same_marks FROM d""")
+def tree_fingerprint(spark, folder):
+    """Classes of equal text and of equal marks, from hash trees; no whole text is one value."""
+    lines = doc_blocks(spark, folder).withColumn("unit_id", F.col("bundle_id"))
+    keys = shared(spark, folder, "tree_keys", lambda: tree_prints.keyed(lines, document_units(spark, folder)))
+
+    def first(name: str, alias: str) -> DataFrame:
+        return keys.groupBy(name).agg(F.min("unit_id").alias(alias))
+
+    return keys.join(first("content_id", "same_content"), "content_id").join(
+        first("artifact_id", "same_marks"), "artifact_id").select(
+        "unit_id", "doc_class", text_date("row_date"), "same_content", "same_marks")
+
+
 @query("exact_duplicates", PRINTS + """
 SELECT unit_id, first_id AS duplicate_of FROM (SELECT unit_id, min(unit_id) OVER (
   PARTITION BY doc_class, row_date, content, stamps) AS first_id FROM d) WHERE unit_id <> first_id""")
