@@ -392,24 +392,26 @@ def _other_components(buckets: DataFrame, labels: DataFrame, samples: DataFrame,
         "key", "block", "turn").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
-            text_col: str = "text") -> DataFrame:
-    """doc_id and class_id, the least id among its near-duplicates, for every row of ``docs``.
+def _name(text):
+    """What a text is known by: rows of one id may hold different texts, and each of them counts."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
-    A document alone is its own class, as is every one without words (null or empty text).
-    Rows with a null id take part by their text; where no row of a text has an id, its class is
-    null.  Equal rows stay equal rows, in one class.  Ids must be of a type with an order.
-    """
+
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """own (id), name (of the text), class (a text's name; null: no words) and class_id by row."""
     spark = docs.sparkSession
-    slim = texts(docs, id_col, text_col)
+    rows = docs.select(
+        F.struct(_name(F.col(text_col)).alias("name"), F.col(id_col).alias("own")).alias("doc_id"),
+        F.coalesce(text_col, F.lit("")).alias("text"))
+    slim = rows.select(F.col("doc_id.name").alias("doc_id"), "text")
     frequency, documents = frequencies(slim)
     weights = spark.sparkContext.broadcast(Weights(frequency, documents))
-    signed = cut(signatures(slim, weights))
-    # Equal texts become one node, named by their least id.
+    signed = cut(signatures(rows, weights).select(
+        "doc_id.own", "doc_id.name", "k1", "k2", "words", "bands", "samples"))
+    # Texts of equal words become one node, named by the least name.
     nodes = cut(signed.where("words > 0").groupBy("k1", "k2").agg(
-        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "bands", "samples"))).alias(
-            "r")).where("r is not null").select(
-        "k1", "k2", F.col("r.doc_id").alias("doc"), "r.bands", "r.samples"))
+        F.min(F.struct("name", "bands", "samples")).alias("r"), F.min("own").alias("own")).select(
+        "k1", "k2", "own", F.col("r.name").alias("doc"), "r.bands", "r.samples"))
     keyed = nodes.select("doc", F.posexplode("bands").alias("band", "hash")).select(
         "doc", "band", F.xxhash64("band", "hash").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -427,23 +429,45 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     new = cut(_other_components(buckets, labels, samples, there, weights, threshold))
     labels = cut(components(links.union(new)))
     named = nodes.join(labels, nodes["doc"] == labels["node"], "left").select(
-        "k1", "k2", F.coalesce("label", "doc").alias("class"))
-    with_words = signed.where("words > 0").select("doc_id", "k1", "k2").join(
-        named, ["k1", "k2"], "left").select("doc_id", F.col("class").alias("class_id"))
-    without = signed.where("words = 0").select("doc_id", F.col("doc_id").alias("class_id"))
+        "k1", "k2", "own", F.coalesce("label", "doc").alias("class"))
+    told = named.join(named.groupBy("class").agg(F.min("own").alias("class_id")), "class").select(
+        "k1", "k2", "class", "class_id")
+    with_words = signed.where("words > 0").select("own", "name", "k1", "k2").join(
+        told, ["k1", "k2"], "left").select("own", "name", "class", "class_id")
+    without = signed.where("words = 0").select(
+        "own", "name", F.lit(None).cast("binary").alias("class"), F.col("own").alias("class_id"))
     return with_words.union(without)
 
 
+def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
+            text_col: str = "text") -> DataFrame:
+    """doc_id and class_id, the least id among its near-duplicates, for every row of ``docs``.
+
+    A document alone is its own class, as is every one without words (null or empty text).
+    Rows with a null id take part by their text; where no row of a class has an id, its class_id
+    is null.  Equal rows stay equal rows, in one class.  Where an id has several texts, each row
+    has the class of its own text; classes that begin with one id then share a class_id.  Ids
+    must be of a type with an order.
+    """
+    return _classes(docs, threshold, id_col, text_col).select(
+        F.col("own").alias("doc_id"), "class_id")
+
+
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one row of each class: the one of the least id.
 
-    Rows without an id stay.  Several rows of one id and class count as one document; the text
-    is shuffled for those only.
+    Rows without an id stay.  Different texts of one id are documents of their own; equal texts
+    of one id count as one document, and rows without words as one for each id.  The text is
+    shuffled for repeated rows only.
     """
-    named = cut(classes(docs, threshold))
-    kept = named.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    again = kept.where("n > 1").select("doc_id")
-    once = stay.join(again, "doc_id", "left_anti")
-    twice = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(twice).union(docs.where("doc_id is null")).select(*docs.columns)
+    told = cut(_classes(docs, threshold, "doc_id", "text").where("own is not null"))
+    alone = F.when(F.col("class").isNull(), F.col("own"))
+    first = told.groupBy("class", alone.alias("alone")).agg(
+        F.min(F.struct("own", "name")).alias("r")).select("r.own", "r.name")
+    kept = told.join(first, ["own", "name"], "left_semi").groupBy("own", "name").agg(
+        F.count(F.lit(1)).alias("n")).withColumnRenamed("own", "doc_id").withColumnRenamed("name", "__name")
+    keys = ["doc_id", "__name"]
+    stay = docs.withColumn("__name", _name(F.col("text"))).join(kept, keys).drop("__name")
+    once = stay.where("n = 1").drop("n")
+    twice = stay.where("n > 1").drop("n").dropDuplicates(["doc_id", "text"])
+    return once.union(twice).union(docs.where("doc_id is null").select(*once.columns)).select(*docs.columns)

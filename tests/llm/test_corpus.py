@@ -171,6 +171,25 @@ def test_near_duplicates_of_a_large_group_and_of_odd_rows(spark):
     assert [r["doc_id"] for r in neardup.one_of_each(again).collect()] == [1]
 
 
+def test_no_text_is_lost_and_no_copy_kept_where_ids_repeat(spark):
+    rng = random.Random(11)
+    a, b = (" ".join(text(60, rng)) for _ in range(2))
+    schema = "doc_id long, text string"
+    rows = neardup.one_of_each(spark.createDataFrame([(1, a), (1, b), (2, a)], schema)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted([(1, a), (1, b)])
+    rows = neardup.one_of_each(spark.createDataFrame(
+        [(0, b), (1, a), (1, b), (2, a), (1, a), (1, a)], schema)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted([(0, b), (1, a)])
+    # Families of edited copies under ids that several of them share.
+    docs = families(5, 3, 40)
+    df, want = exact_classes(spark, docs)
+    shared = df.withColumn("doc_id", (df["doc_id"] / 3).cast("long"))
+    texts_of = [r["text"] for r in df.orderBy("doc_id").collect()]
+    got = [r["text"] for r in neardup.one_of_each(shared).collect()]
+    classes_got = [want[texts_of.index(t)] for t in got]
+    assert sorted(classes_got) == sorted(set(want))
+
+
 def test_search_against_scoring_everything(spark, monkeypatch):
     monkeypatch.setattr(search, "SEGMENT_WORDS", 3000)
     monkeypatch.setattr(search, "BLOCK_TERMS", 500)
