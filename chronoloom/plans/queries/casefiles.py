@@ -56,9 +56,14 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
 
+def typed_blocks(spark, folder) -> DataFrame:
+    """Typed blocks of the written case files."""
+    return shared(spark, folder, "typed_blocks", lambda: blocks.from_lines(tables.written_lines(
+        tables.table(spark, folder, "lineitem"), tables.table(spark, folder, "orders"))))
+
+
 def _manifest(spark, folder) -> manifest.Manifest:
-    found = shared(spark, folder, "typed_blocks", lambda: blocks.from_lines(
-        tables.written_lines(tables.table(spark, folder, "lineitem"), tables.table(spark, folder, "orders"))))
+    found = typed_blocks(spark, folder)
     built = None
 
     def make():
@@ -74,7 +79,7 @@ def _manifest(spark, folder) -> manifest.Manifest:
 
 def _chronology(spark, folder) -> chronology.Chronology:
     told = _manifest(spark, folder)
-    found = shared(spark, folder, "typed_blocks", lambda: None)
+    found = typed_blocks(spark, folder)
     built = None
 
     def make():
@@ -151,6 +156,13 @@ bk AS (SELECT ud.*, 'row_' || substr(sha256(case_id || '|' || CASE
     CASE doc_class WHEN 'rapport_imagerie' THEN 'Rapport d''imagerie' WHEN 'rapport_medical' THEN 'Rapport médical'
       WHEN 'note_consultation' THEN 'Note de consultation' ELSE 'Document non classé' END AS label FROM ud)"""
 
+# Every line of every page.
+PRINTED = """
+pl AS (SELECT l_orderkey, page, unnest(list_filter([
+    CASE WHEN status = 'F' THEN 0 END, CASE WHEN status = 'F' AND flag = 'R' THEN 1 END, 2, CASE WHEN qty % 5 = 0 THEN 3 END,
+    CASE WHEN status = 'F' THEN 4 END, 5, CASE WHEN qty % 4 = 2 THEN 6 END, 7, CASE WHEN flag = 'R' THEN 8 END,
+    CASE WHEN qty % 2 = 0 THEN 9 END, 10], lambda x: x IS NOT NULL)) AS ord FROM p)"""
+
 # Lines that stand in the pages (those that may be printed), which of them are kept, and which
 # of them, or of the fields read from them, a row prints.
 BULLETS = """
@@ -243,3 +255,25 @@ def casefile_bullets(spark, folder) -> DataFrame:
     """The printed lines of all rows, numbered, with the place each one cites."""
     return _chronology(spark, folder).bullets.select(
         "row_id", "pos", "text", "confidence", "rule", "block_id", "span_start", "span_end")
+
+
+@query("casefile_labels", _with(WRITTEN) + """
+SELECT 'o' || l_orderkey AS bundle_id, CAST(page AS INTEGER) AS pdf_index, page::VARCHAR AS printed_label FROM p""")
+def casefile_labels(spark, folder) -> DataFrame:
+    """The printed label of every page, read from its foot and confirmed."""
+    found = typed_blocks(spark, folder)
+    return pages.confirm_labels(pages.label_candidates(found))
+
+
+@query("casefile_years", _with(WRITTEN, """
+yr AS (
+  SELECT l_orderkey, year(day) AS y FROM p
+  UNION ALL SELECT l_orderkey, year(o_day) FROM p WHERE qty % 5 = 0
+  UNION ALL SELECT l_orderkey, unnest([1918, 2011]) FROM p WHERE status = 'F' AND flag = 'R')""") + """
+SELECT 'o' || l_orderkey AS bundle_id, CAST(min(y) AS INTEGER) AS first_year, CAST(max(y) AS INTEGER) AS last_year
+FROM yr GROUP BY 1""")
+def casefile_years(spark, folder) -> DataFrame:
+    """The years that anchor two-digit dates: the earliest and latest any line of a file states."""
+    from ...operators import dates
+
+    return dates.year_anchors(typed_blocks(spark, folder))

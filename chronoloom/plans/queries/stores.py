@@ -12,7 +12,7 @@ from ...operators import blocks, dates, templates
 from ...session import shared_folder, spread
 from ...sinks import store as sink
 from ...sources import files, gold, ocr, store, tables, transcription
-from . import facts
+from . import casefiles, facts
 from .registry import TODAY, query, shared, text_date
 
 PACK = rules.load("cnesst")
@@ -151,21 +151,58 @@ def audit_entries(spark, folder):
 
 
 @query("blocks_of_units", """
-SELECT 'o' || l_orderkey AS unit_id, l_linenumber AS pdf_index, count(*) AS n FROM lineitem
-WHERE l_linenumber % 3 <> 0 GROUP BY 1, 2""")
+SELECT 'o' || l_orderkey || CASE WHEN l_linenumber % 3 = 0 THEN ':rest' ELSE '' END AS unit_id,
+  l_linenumber AS pdf_index, count(*) AS n FROM lineitem GROUP BY 1, 2""")
 def blocks_of_units(spark, folder):
-    """Blocks of page sets with gaps: each order's pages but every third."""
+    """Blocks of page sets with gaps: every third page of an order is one unit, the others another."""
     items = tables.table(spark, folder, "lineitem").select(
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("bundle_id"),
         F.col("l_linenumber").alias("pdf_index"))
     last = items.groupBy("bundle_id").agg(F.max("pdf_index").alias("z"))
-    runs = F.transform(F.sequence(F.lit(0), F.floor(F.col("z") / 3)), lambda i: F.struct(
-        (3 * i + 1).cast("int").alias("first"), (3 * i + 2).cast("int").alias("last")))
-    units = last.select("bundle_id", F.col("bundle_id").alias("unit_id"), runs.alias("spans"))
+    thirds = F.sequence(F.lit(0), F.floor(F.col("z") / 3))
+
+    def runs(first: int, end: int):
+        return F.transform(thirds, lambda i: F.struct(
+            (3 * i + first).cast("int").alias("first"), (3 * i + end).cast("int").alias("last")))
+
+    units = last.select("bundle_id", F.explode(F.array(
+        F.struct(F.col("bundle_id").alias("unit_id"), runs(1, 2).alias("spans")),
+        F.struct(F.concat("bundle_id", F.lit(":rest")).alias("unit_id"), runs(3, 3).alias("spans")),
+    )).alias("u")).select("bundle_id", "u.*")
     return store.blocks_of_units(items, units).groupBy("unit_id", "pdf_index").agg(
         F.count(F.lit(1)).alias("n"))
 
 
+def _stored_blocks(spark, folder):
+    """Blocks of the written case files in the clustered store."""
+    def write():
+        root = _scratch(spark, "blocks")
+        sink.write_blocks(casefiles.typed_blocks(spark, folder), root, "1")
+        return store.current(spark, root, "blocks", "1")
+
+    return shared(spark, folder, "stored_blocks", write)
+
+
+@query("bundle_scan", facts._with(casefiles.WRITTEN, casefiles.PRINTED) + """
+SELECT 'o' || l_orderkey AS bundle_id, CAST(page AS INTEGER) AS pdf_index, CAST(ord AS INTEGER) AS ord,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY page, ord) AS place FROM pl""")
+def bundle_scan(spark, folder):
+    """Every bundle read back from the clustered store in reading order."""
+    return store.bundles_in_order(_stored_blocks(spark, folder)).select("bundle_id", "pdf_index", "ord", "place")
+
+
+@query("block_lookup", facts._with(casefiles.WRITTEN, casefiles.ROWS, casefiles.BULLETS) + """
+SELECT DISTINCT block_id, 'o' || l_orderkey AS bundle_id, CAST(page AS INTEGER) AS pdf_index, 62.0::DOUBLE AS x0,
+  CASE ord WHEN 2 THEN 130.0 WHEN 3 THEN 150.0 WHEN 5 THEN 210.0 WHEN 6 THEN 230.0 WHEN 7 THEN 250.0 ELSE 300.0 END::DOUBLE AS y0,
+  page::VARCHAR AS printed_label FROM bu""")
+def block_lookup(spark, folder):
+    """The block that each printed line cites, looked up by its id: where to crop the page."""
+    labels = casefiles.casefile_labels(spark, folder)
+    cited = casefiles.casefile_bullets(spark, folder).select("block_id").distinct()
+    return store.look_up(_stored_blocks(spark, folder), labels, cited).select(
+        "block_id", "bundle_id", "pdf_index", "x0", "y0", "printed_label")
+
+
 @query("units_with_dates", facts._with(facts.UNITS, facts.FACTS) + """
 SELECT u.unit_id, coalesce((SELECT string_agg(f.d::VARCHAR, ',' ORDER BY pdf_index, start_at, ord) FROM f
   WHERE f.unit_id = u.unit_id), '') AS days FROM u""")

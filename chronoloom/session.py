@@ -46,6 +46,9 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL: dict[str, str | None] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all machines share.
 
@@ -56,8 +59,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # The setting cannot be changed on a running session.
+        folder = _LOCAL.setdefault("folder", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _LOCAL["folder"] = folder
     return folder
 
 

@@ -60,6 +60,21 @@ def write_version(df: DataFrame, root: str, table: str, version: str,
     return path
 
 
+def write_blocks(blocks: DataFrame, root: str, version: str, group_bytes: int = 16 << 20) -> str:
+    """The block store: clustered by reading order, with a filter on the block id in each group.
+
+    Files hold ranges of (bundle, page, order), so a scan of a bundle opens the few row groups
+    whose bounds hold it.  Ids are digests and lie anywhere; a Bloom filter per row group tells
+    which groups can hold one, so that a lookup skips all others.
+    """
+    order = ["bundle_id", "pdf_index", "ord"]
+    path = f"{root}/blocks/v={version}"
+    (blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
+     .option("parquet.block.size", group_bytes).option("parquet.bloom.filter.enabled#block_id", "true")
+     .option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path))
+    return path
+
+
 def run_snapshot(rows: DataFrame, run_id: str, order: list[str]) -> DataFrame:
     """Rows of a run with their place in the chronology of their case.
 
