@@ -6,8 +6,6 @@ rule or pattern with the operators.
 
 from __future__ import annotations
 
-from dataclasses import fields as parts_of
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from ... import rules
 from ...operators import blocks, pages
 from ...sources import tables
 from .. import chronology, manifest
-from .registry import TODAY, query, shared, text_date
+from .registry import TODAY, kept, query, shared, text_date
 
 PACK = rules.load("cnesst")
 SETTINGS = manifest.Settings(today=TODAY, screen=True)
@@ -63,35 +61,20 @@ def typed_blocks(spark, folder) -> DataFrame:
 
 
 def _manifest(spark, folder) -> manifest.Manifest:
-    found = typed_blocks(spark, folder)
-    built = None
-
+    """The described files.  Building writes each table once; parts that no query reads are not made."""
     def make():
-        nonlocal built
-        if built is None:
-            built = manifest.build(found, tables.pages_of(found), PACK, SETTINGS)
-        return built
+        found = typed_blocks(spark, folder)
+        return manifest.build(found, tables.pages_of(found), PACK, SETTINGS)
 
-    return manifest.Manifest(**{
-        part.name: shared(spark, folder, f"case_{part.name}", lambda n=part.name: getattr(make(), n))
-        for part in parts_of(manifest.Manifest)})
+    return kept(spark, folder, "case_manifest", make)
 
 
 def _chronology(spark, folder) -> chronology.Chronology:
-    told = _manifest(spark, folder)
-    found = typed_blocks(spark, folder)
-    built = None
-
     def make():
-        nonlocal built
-        if built is None:
-            labels = pages.confirm_labels(pages.label_candidates(found))
-            built = chronology.build(told, labels, PACK, SETTINGS)
-        return built
-
-    return chronology.Chronology(**{
-        part.name: shared(spark, folder, f"chron_{part.name}", lambda n=part.name: getattr(make(), n))
-        for part in parts_of(chronology.Chronology)})
+        labels = pages.confirm_labels(pages.label_candidates(typed_blocks(spark, folder)))
+        return chronology.build(_manifest(spark, folder), labels, PACK, SETTINGS)
+
+    return kept(spark, folder, "case_chronology", make)
 
 
 @query("casefile_units", _with(WRITTEN) + """

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ... import rules
 from ...operators import assemble, claims, corrections, cues, dates, delta, report
-from ...sinks import export
+from ...session import shared_folder
+from ...sinks import export, fragments
 from ...sources import store, tables
 from .registry import query, shared, text_date
 
@@ -677,13 +680,13 @@ def json_export(spark, folder):
         F.coalesce(texts, F.lit("")).alias("texts"))
 
 
-@query("markdown_export", _with(UNITS, ENCOUNTERS, MERGED, BULLETS, CONFIDENT, """
+MARKDOWN = _with(UNITS, ENCOUNTERS, MERGED, BULLETS, CONFIDENT, """
 loc AS (SELECT row_id, string_agg('Dossier ' || bundle_id || '<br>p. ' ||
     CASE WHEN first_page % 2 = 0 THEN (first_page + 100)::VARCHAR ELSE first_page || ' [pdf]' END,
     ' ; ' ORDER BY bundle_id, first_page) AS places FROM bk GROUP BY 1),
 lin AS (SELECT row_id, string_agg('• ' || text, '<br>' ORDER BY bundle_id, first_page, pdf_index,
-    ord, block_id) AS body FROM bl GROUP BY 1)""") + """
-SELECT case_id, 2 AS section, '| ' || CASE WHEN row_date IS NULL THEN '—'
+    ord, block_id) AS body FROM bl GROUP BY 1),
+md AS (SELECT case_id, row_id, 2 AS section, '| ' || CASE WHEN row_date IS NULL THEN '—'
     WHEN date_status = 'ambiguous' THEN row_date::VARCHAR || ' (?)' ELSE row_date::VARCHAR END ||
   ' | ' || places || ' | ' || concat_ws('<br>', '**' || title || '**',
     CASE WHEN illegible THEN 'Illisible — no text' END, body,
@@ -691,8 +694,12 @@ SELECT case_id, 2 AS section, '| ' || CASE WHEN row_date IS NULL THEN '—'
   || ' |' AS line
 FROM rc JOIN loc USING (row_id) LEFT JOIN lin USING (row_id) WHERE excluded_by IS NULL
 UNION ALL
-SELECT case_id, 4, '| ' || coalesce(row_date::VARCHAR, '—') || ' | ' || title || ' | `' ||
-  excluded_by || '` |' FROM rc WHERE excluded_by IS NOT NULL
+SELECT case_id, row_id, 4, '| ' || coalesce(row_date::VARCHAR, '—') || ' | ' || title || ' | `' ||
+  excluded_by || '` |' FROM rc WHERE excluded_by IS NOT NULL)""")
+
+
+@query("markdown_export", MARKDOWN + """
+SELECT case_id, section, line FROM md
 UNION ALL
 SELECT case_id, 0, '**SANS DATE — ' || count(*) || ' documents à dater**' FROM rc
 WHERE excluded_by IS NULL AND row_date IS NULL GROUP BY 1
@@ -708,6 +715,32 @@ def markdown_export(spark, folder):
     return lines.filter(~fixed).select("case_id", "section", "line")
 
 
+_HEADS = [c["header"] for c in PACK.output.get("columns", [])] or ["Date", "Document", "Contenu"]
+
+
+@query("markdown_files", MARKDOWN + f"""
+, fixed AS (
+  SELECT case_id, count(*) FILTER (WHERE excluded_by IS NULL AND row_date IS NULL) AS undated,
+    count(*) FILTER (WHERE excluded_by IS NOT NULL) AS held FROM rc GROUP BY 1),
+every AS (
+  SELECT case_id, 0 AS section, NULL::VARCHAR AS row_id, unnest(['**SANS DATE — ' || undated || ' documents à dater**', '']) AS line,
+    generate_subscripts([1, 2], 1) AS part FROM fixed WHERE undated > 0
+  UNION ALL SELECT case_id, 1, NULL, unnest(['| {" | ".join(_HEADS)} |', '|{"|".join(["---"] * len(_HEADS))}|']),
+    generate_subscripts([1, 2], 1) FROM fixed
+  UNION ALL SELECT case_id, section, row_id, line, 0 FROM md
+  UNION ALL SELECT case_id, 3, NULL, unnest(['', '**RETIRÉ PAR RÈGLE — ' || held || ' document(s), conservés au dossier**', '',
+    '| Date | Document | Règle |', '|---|---|---|']), generate_subscripts([1, 2, 3, 4, 5], 1) FROM fixed WHERE held > 0),
+doc AS (SELECT e.case_id, string_agg(e.line || chr(10), '' ORDER BY section, (row_date IS NOT NULL), row_date, coalesce(author, ''),
+    doc_class, min_page, row_id, part) AS text FROM every e LEFT JOIN rc USING (row_id) GROUP BY 1)
+SELECT case_id AS document, strlen(text)::BIGINT AS n_bytes, sha256(text) AS sha256 FROM doc""")
+def markdown_files(spark, folder):
+    """The printed documents written as streams of fragments, and read back byte by byte."""
+    rows, places, bullets = _export_parts(spark, folder)
+    path = f"{shared_folder(spark)}/printed-{uuid.uuid4().hex}"
+    fragments.write(fragments.markdown_fragments(report.display_rows(rows, PACK), places, bullets, PACK), path)
+    return fragments.digests(rows.select(F.col("case_id").alias("document")).distinct(), path)
+
+
 @query("required_fields", """
 WITH r AS (SELECT 'o' || l_orderkey AS unit_id,
     CASE l_returnflag WHEN 'R' THEN 'consolidation' WHEN 'A' THEN 'apipp'

@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {}
 #: The day on which a run is made; dates after it cannot have happened.
 TODAY = dt.date(2025, 6, 1)
 _TABLES: dict[tuple, DataFrame] = {}
+_KEPT: dict[tuple, object] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -35,9 +36,18 @@ def shared(spark: SparkSession, folder: str, name: str,
     return _TABLES[key]
 
 
+def kept(spark: SparkSession, folder: str, name: str, make: Callable[[], object]):
+    """What several queries start from and what has written its own tables, made once."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def forget() -> None:
     """Drop what was shared, so that a timed query pays for everything it needs."""
     _TABLES.clear()
+    _KEPT.clear()
 
 
 def text_date(column: str):

@@ -23,22 +23,34 @@ def _nested(df: DataFrame, place: str, name: str, *cols) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))
 
 
-def json_rows(rows: DataFrame, locators: DataFrame, bullets: DataFrame) -> DataFrame:
-    """One object per row.  ``locators`` and ``bullets`` carry ``pos``."""
-    places = _nested(
-        locators, "pos", "locators", "folder_label", "bundle_id",
-        F.col("first_page").alias("pdf_index"), "printed_label", "display_page", "flagged", "unit_id")
+def row_object() -> list:
+    """The fields of a row's object, but for its lists."""
+    return [
+        F.col("row_id").alias("id"), F.col("case_id"), F.col("row_date").cast("string").alias("date"),
+        *map(F.col, ("date_status", "date_explanation", "date_alternatives", "title", "author",
+                     "doc_class", "regime")),
+        F.round("confidence", 4).alias("confidence"),
+        *map(F.col, ("warns", "illegible_reason", "second_hand", "n_units", "excluded_by"))]
+
+
+def locator_object() -> list:
+    return [*map(F.col, ("folder_label", "bundle_id")), F.col("first_page").alias("pdf_index"),
+            *map(F.col, ("printed_label", "display_page", "flagged", "unit_id"))]
+
+
+def bullet_object() -> list:
     citation = F.struct(
         "bundle_id", "pdf_index", "unit_id", "block_id",
         F.col("span_start").alias("start"), F.col("span_end").alias("end")).alias("citation")
-    lines = _nested(bullets, "pos", "bullets", "text", "confidence", "rule", citation)
+    return [*map(F.col, ("text", "confidence", "rule")), citation]
+
+
+def json_rows(rows: DataFrame, locators: DataFrame, bullets: DataFrame) -> DataFrame:
+    """One object per row.  ``locators`` and ``bullets`` carry ``pos``."""
+    places = _nested(locators, "pos", "locators", *locator_object())
+    lines = _nested(bullets, "pos", "bullets", *bullet_object())
     out = rows.join(places, "row_id", "left").join(lines, "row_id", "left")
-    return out.select(
-        F.col("row_id").alias("id"), "case_id",
-        F.col("row_date").cast("string").alias("date"), "date_status", "date_explanation",
-        "date_alternatives", "title", "author", "doc_class", "regime",
-        F.round("confidence", 4).alias("confidence"), "warns", "illegible_reason", "second_hand",
-        "n_units", "excluded_by", "locators", "bullets")
+    return out.select(*row_object(), "locators", "bullets")
 
 
 def removal_manifest(rows: DataFrame) -> DataFrame:
@@ -48,6 +60,13 @@ def removal_manifest(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col("row_date").cast("string"), F.lit("—")).alias("date"), "title", "excluded_by")
 
 
+def row_sort():
+    """Where a row stands in the printed table."""
+    return F.struct(
+        F.col("row_date").isNotNull().alias("dated"), "row_date",
+        F.coalesce("author", F.lit("")).alias("author"), "doc_class", "min_page", "row_id")
+
+
 def markdown_lines(rows: DataFrame, locators: DataFrame, bullets: DataFrame, pack: Pack) -> DataFrame:
     """(case_id, section, row_sort, part, line): the printed document, one line per record; part
     counts the lines of a heading.
@@ -55,16 +74,9 @@ def markdown_lines(rows: DataFrame, locators: DataFrame, bullets: DataFrame, pac
     Sort by the first columns to print.  ``rows`` need the cells of ``display_rows``,
     ``locators`` the ``locator`` text; both they and ``bullets`` carry ``pos``.
     """
-    words = pack.output.get("rows", {})
-    heads = [c["header"] for c in pack.output.get("columns", [])] or ["Date", "Document", "Contenu"]
-    shown = F.col("excluded_by").isNull()
-    sort = F.struct(
-        F.col("row_date").isNotNull().alias("dated"), "row_date",
-        F.coalesce("author", F.lit("")).alias("author"), "doc_class", "min_page", "row_id")
-
     places = _nested(locators, "pos", "places", F.regexp_replace("locator", "\n", "<br>").alias("l"))
     lines = _nested(bullets, "pos", "lines", F.concat(F.lit("• "), F.col("text")).alias("l"))
-    body = rows.filter(shown).join(places, "row_id", "left").join(lines, "row_id", "left")
+    body = rows.filter(F.col("excluded_by").isNull()).join(places, "row_id", "left").join(lines, "row_id", "left")
     opening = F.concat(F.lit("**"), F.col("title_cell"), F.lit("**"))
 
     def joined(name: str, sep: str):
@@ -72,11 +84,24 @@ def markdown_lines(rows: DataFrame, locators: DataFrame, bullets: DataFrame, pac
 
     content = F.concat_ws("<br>", opening, "illegible_cell", joined("lines", "<br>"), "warning_cell")
     table = body.select(
-        "case_id", F.lit(2).alias("section"), sort.alias("row_sort"), F.lit(0).alias("part"), F.concat(
+        "case_id", F.lit(2).alias("section"), row_sort().alias("row_sort"), F.lit(0).alias("part"), F.concat(
             F.lit("| "), F.col("date_cell"), F.lit(" | "),
             F.coalesce(joined("places", " ; "), F.lit("")), F.lit(" | "), content,
             F.lit(" |")).alias("line"))
-    nothing = F.lit(None).cast(table.schema["row_sort"].dataType)
+    return table.unionByName(markdown_frame(rows, pack))
+
+
+def markdown_frame(rows: DataFrame, pack: Pack) -> DataFrame:
+    """The lines around the table: headings, and the rows that are held back."""
+    words = pack.output.get("rows", {})
+    heads = [c["header"] for c in pack.output.get("columns", [])] or ["Date", "Document", "Contenu"]
+    shown = F.col("excluded_by").isNull()
+    held = rows.filter(~shown).select(
+        "case_id", F.lit(4).alias("section"), row_sort().alias("row_sort"), F.lit(0).alias("part"),
+        F.concat(F.lit("| "), F.coalesce(F.col("row_date").cast("string"), F.lit("—")),
+                 F.lit(" | "), F.col("title"), F.lit(" | `"), F.col("excluded_by"),
+                 F.lit("` |")).alias("line"))
+    nothing = F.lit(None).cast(held.schema["row_sort"].dataType)
 
     counts = rows.groupBy("case_id").agg(
         F.count_if(shown & F.col("row_date").isNull()).alias("undated"),
@@ -97,13 +122,8 @@ def markdown_lines(rows: DataFrame, locators: DataFrame, bullets: DataFrame, pac
     gone = fixed(counts.filter("held > 0"), 3, F.lit(""),
                  heading("removed_heading", REMOVED_HEADING, "held"), F.lit(""),
                  *[F.lit(x) for x in REMOVED_HEAD])
-    held = rows.filter(~shown).select(
-        "case_id", F.lit(4).alias("section"), sort.alias("row_sort"), F.lit(0).alias("part"),
-        F.concat(F.lit("| "), F.coalesce(F.col("row_date").cast("string"), F.lit("—")),
-                 F.lit(" | "), F.col("title"), F.lit(" | `"), F.col("excluded_by"),
-                 F.lit("` |")).alias("line"))
-    out = table
-    for part in (first, head, gone, held):
+    out = held
+    for part in (first, head, gone):
         out = out.unionByName(part)
     return out
 
