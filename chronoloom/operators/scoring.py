@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as tx
+from ..functions.ordered import running
 from ..functions.similarity import reaches
 from ..session import cut
 from .worklist import COMPLETE_STOPS
@@ -61,31 +62,42 @@ def overlaps(unit_pages: DataFrame, gold_pages: DataFrame) -> DataFrame:
         F.col("both") / (F.col("n_unit") + F.col("n_gold") - F.col("both"))).alias("overlap"))
 
 
-def match_units(pairs: DataFrame, gold: DataFrame, units: DataFrame) -> DataFrame:
+def _choose(frame: pd.DataFrame) -> pd.DataFrame:
+    """Gold units of one case in order, each with its best unit that is still free."""
+    frame = frame.sort_values(["gold_ord", "overlap", "unit_ord"], ascending=[True, False, True])
+    done, used, rows = set(), set(), []
+    for i, (gold, unit) in enumerate(zip(frame["gold_ord"], frame["unit_id"])):
+        if gold not in done and unit not in used:
+            done.add(gold)
+            used.add(unit)
+            rows.append(i)
+    return frame.iloc[rows][["case_id", "gold_id", "gold_ord", "unit_id", "overlap"]]
+
+
+def match_units(pairs: DataFrame, gold: DataFrame, units: DataFrame, chunk_pairs: int = 1 << 16) -> DataFrame:
     """Pair gold units with engine units: in gold order, each takes its best free unit.
 
     ``pairs``: see ``overlaps``; ``gold``: case_id, gold_id, gold_ord; ``units``: case_id,
-    unit_id, unit_ord (ties go to the lower).  In each round a gold unit may choose if no
-    earlier undecided one could want the same unit; all that may, choose at once.  Runs jobs.
-    Gold units without a match are not in the result.
+    unit_id, unit_ord (ties go to the lower).  A choice depends on all earlier ones of its case
+    that want the same units, in chains of any length, so a case is gone through in order: in
+    chunks of gold units with about ``chunk_pairs`` pairs, one round for each, all cases side by
+    side.  A chunk sees the pairs whose unit no earlier chunk took.  Runs jobs.  Gold units
+    without a match are not in the result.
     """
     open_ = cut(pairs.join(gold, ["case_id", "gold_id"]).join(units, ["case_id", "unit_id"]))
-    taken = []
-    while not open_.isEmpty():
-        best = open_.groupBy("case_id", "gold_id", "gold_ord").agg(F.max_by(
-            F.struct("unit_id", "overlap"), F.struct("overlap", -F.col("unit_ord"))).alias("b"))
-        ahead = open_.groupBy("case_id", "unit_id").agg(F.min("gold_ord").alias("first_ord"))
-        safe = cut(
-            best.select("case_id", "gold_id", "gold_ord", "b.unit_id", "b.overlap")
-            .join(ahead, ["case_id", "unit_id"]).filter(F.col("gold_ord") == F.col("first_ord"))
-            .drop("first_ord"))
-        # Each round is a table of its own; none is written again.
-        taken.append(safe)
-        open_ = cut(
-            open_.join(safe, ["case_id", "gold_id"], "left_anti")
-            .join(safe, ["case_id", "unit_id"], "left_anti"))
-    none = open_.select("case_id", "gold_id", "gold_ord", "unit_id", "overlap")
-    return reduce(DataFrame.unionByName, taken, none)
+    sizes = open_.groupBy("case_id", "gold_ord").agg(F.count(F.lit(1)).alias("n"))
+    placed = running(cut(sizes), ["case_id"], ["gold_ord"], sums={"upto": F.col("n")}).select(
+        "case_id", "gold_ord", F.floor((F.col("upto") - F.col("n")) / chunk_pairs).alias("chunk"))
+    open_ = cut(open_.join(placed, ["case_id", "gold_ord"]))
+    schema = StructType([open_.schema[c] for c in ("case_id", "gold_id", "gold_ord", "unit_id", "overlap")])
+    taken = None
+    for turn in range((open_.agg(F.max("chunk")).head()[0] or 0) + 1):
+        rows = open_.where(F.col("chunk") == turn)
+        if taken is not None:
+            rows = rows.join(taken, ["case_id", "unit_id"], "left_anti")
+        got = cut(rows.groupBy("case_id").applyInPandas(_choose, schema))
+        taken = got if taken is None else taken.unionByName(got)
+    return taken
 
 
 def spurious_units(units: DataFrame, matched: DataFrame) -> DataFrame:

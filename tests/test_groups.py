@@ -188,11 +188,29 @@ def test_unit_match_follows_the_key_order(spark):
             if best:
                 used.add(-best[1])
                 want[f"{case}g{i}"] = f"{case}u{-best[1]}"
-    got = scoring.match_units(
+    tables = (
         spark.createDataFrame(pairs, "case_id string, gold_id string, unit_id string, overlap double"),
         spark.createDataFrame(gold, "case_id string, gold_id string, gold_ord int"),
         spark.createDataFrame(us, "case_id string, unit_id string, unit_ord int"))
-    assert {r.gold_id: r.unit_id for r in got.collect()} == want
+    for chunk in (1 << 16, 4):
+        got = scoring.match_units(*tables, chunk_pairs=chunk)
+        assert {r.gold_id: r.unit_id for r in got.collect()} == want
+    assert scoring.match_units(tables[0].limit(0), *tables[1:]).count() == 0
+
+
+def test_unit_match_along_a_chain_of_ten_thousand_rivals(spark):
+    """Each gold unit would rather have what the one before it takes."""
+    n = 10_000
+    steps = spark.range(n).select(
+        F.lit("c").alias("case_id"), F.format_string("g%05d", "id").alias("gold_id"), F.col("id").cast("int").alias("gold_ord"))
+    us = spark.range(n).select(
+        F.lit("c").alias("case_id"), F.format_string("u%05d", "id").alias("unit_id"), F.col("id").cast("int").alias("unit_ord"))
+    pairs = spark.range(n).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).where("id >= k").select(
+        F.lit("c").alias("case_id"), F.format_string("g%05d", "id").alias("gold_id"),
+        F.format_string("u%05d", F.col("id") - F.col("k")).alias("unit_id"), (0.5 + F.col("k") * 0.25).alias("overlap"))
+    # Seven rounds of about 3,000 pairs; the first unit is taken by the first, and all others move up.
+    got = scoring.match_units(pairs, steps, us, chunk_pairs=3000).collect()
+    assert {r.gold_id: r.unit_id for r in got} == {f"g{i:05}": f"u{i:05}" for i in range(n)}
 
 
 def test_only_one_setting_may_move(spark):
