@@ -246,20 +246,36 @@ class Model:
         return mean
 
     def decode(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags [window, place], and how sure each place's emission is of its tag."""
+        """Best tags [window, place], and each place's probability of its tag.
+
+        The probability is the field's marginal, from a forward and a backward pass over the
+        window: it weighs all taggings, with their transitions.
+        """
         e = self.emissions(codes)
         n, width, _ = e.shape
         score, back = e[:, 0] + self.p["first"], np.zeros(e.shape, np.int8)
+        move = np.exp(self.p["move"])
+        near = np.exp(e - e.max(2, keepdims=True))
+        ahead = np.empty_like(near)
+        ahead[:, 0] = near[:, 0] * np.exp(self.p["first"] - self.p["first"].max())
         for t in range(1, width):
             step = score[:, :, None] + self.p["move"]
             back[:, t] = step.argmax(1)
             score = step.max(1) + e[:, t]
+            now = (ahead[:, t - 1] @ move) * near[:, t]
+            ahead[:, t] = now / now.sum(1, keepdims=True)
         tags = np.empty((n, width), np.int64)
         tags[:, -1] = score.argmax(1)
-        for t in range(width - 1, 0, -1):
-            tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
-        e = np.exp(e - e.max(2, keepdims=True))
-        return tags, e[np.arange(n)[:, None], np.arange(width), tags] / e.sum(2)
+        behind = np.ones_like(near[:, 0])
+        sure = np.empty((n, width), near.dtype)
+        for t in range(width - 1, -1, -1):
+            if t < width - 1:
+                tags[:, t] = back[np.arange(n), t + 1, tags[:, t + 1]]
+                behind = (near[:, t + 1] * behind) @ move.T
+                behind /= behind.sum(1, keepdims=True)
+            joint = ahead[:, t] * behind
+            sure[:, t] = joint[np.arange(n), tags[:, t]] / joint.sum(1)
+        return tags, sure
 
     def frozen(self) -> Model:
         """A copy in single precision, for decoding."""
