@@ -260,3 +260,14 @@ def casefile_years(spark, folder) -> DataFrame:
     from ...operators import dates
 
     return dates.year_anchors(typed_blocks(spark, folder))
+
+
+@query("casefile_metrics", _with(WRITTEN, PRINTED) + """
+SELECT 'o' || l_orderkey AS bundle_id, count(DISTINCT page) AS pages, count(*) AS blocks, CAST(0 AS BIGINT) AS unread_pages,
+  count(DISTINCT page) AS labelled_pages, '{"text_layer":' || count(DISTINCT page) || '}' AS pages_by_tier,
+  0.0::DOUBLE AS unread_ratio FROM pl GROUP BY l_orderkey""")
+def casefile_metrics(spark, folder) -> DataFrame:
+    """What parsing found in each file: pages by tier, blocks, labels."""
+    found = typed_blocks(spark, folder)
+    rows = pages.page_rows(tables.pages_of(found), found, casefile_labels(spark, folder))
+    return pages.parse_metrics(rows).withColumn("pages_by_tier", F.to_json("pages_by_tier"))

@@ -623,23 +623,28 @@ def audit_by_subject(spark, folder):
 
 
 @query("case_state", _with(UNITS, ENCOUNTERS) + """
-SELECT n.case_id, n.bundles, n.units, coalesce(l.blocks, 0) AS blocks, r."rows"
+SELECT n.case_id, n.case_id AS name, 'cnesst' AS primary_pack, n.bundles, CAST(n.units AS BIGINT) AS pages, n.units,
+  coalesce(l.blocks, 0) AS blocks, coalesce(c.corrections, 0) AS corrections, coalesce(c.runs, 0) AS runs, r."rows"
 FROM (SELECT case_id, count(DISTINCT bundle_id) AS bundles, count(*) AS units FROM bk GROUP BY 1) n
 LEFT JOIN (SELECT bk.case_id, count(*) AS blocks FROM lineitem JOIN bk
   ON bk.unit_id = 'o' || l_orderkey GROUP BY 1) l USING (case_id)
+LEFT JOIN (SELECT bk.case_id, count(*) AS corrections, count(DISTINCT user_id % 5) AS runs FROM events JOIN bk
+  ON bk.unit_id = 'o' || user_id GROUP BY 1) c USING (case_id)
 JOIN (SELECT case_id, count(DISTINCT row_id) AS "rows" FROM bk GROUP BY 1) r USING (case_id)""")
 def case_state(spark, folder):
+    """What is held for each case: bundles, blocks, units, corrections of them, runs, rows."""
     bucketed = encounters(spark, folder)
     cases = bucketed.select("case_id").distinct().withColumns({
         "name": F.col("case_id"), "primary_pack": F.lit("cnesst")})
     bundles = bucketed.groupBy("case_id", "bundle_id").agg(F.sum("n_pages").alias("page_count"))
+    home = bucketed.select("unit_id", "case_id")
     blocks = tables.table(spark, folder, "lineitem").select(
-        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("unit_id")
-    ).join(bucketed.select("unit_id", "case_id"), "unit_id")
-    none = cases.select("case_id").filter(F.lit(False))
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("unit_id")).join(home, "unit_id")
+    fixes = tables.event_log(spark, folder).select(F.col("subject_id").alias("unit_id")).join(home, "unit_id")
+    runs = tables.audit_log(spark, folder).select(F.col("subject_id").alias("unit_id"), "run_id").join(
+        home, "unit_id").select("case_id", "run_id").distinct()
     return report.case_state(
-        cases, bundles, blocks, bucketed, none, none, encounter_rows(spark, folder)
-    ).select("case_id", "bundles", "units", "blocks", "rows")
+        cases, bundles, blocks, bucketed, fixes, runs, encounter_rows(spark, folder))
 
 
 # --- exports --------------------------------------------------------------------------------

@@ -103,17 +103,25 @@ def date_accuracy(spark, folder):
 
 @query("manifest_score", _with(KEY, """
 j AS (SELECT gd.case_id, mt.overlap, mt.unit_id IS NOT NULL AS has, un.doc_class = gd.doc_class AS cls,
-    abs(un.row_date - gd.row_date) AS off
+    abs(un.row_date - gd.row_date) AS off, un.doc_class = 'A' AS held, gd.case_id::BIGINT % 5 = 0 AS out,
+    CASE WHEN gd.case_id::BIGINT % 2 = 0 THEN 'cnesst' WHEN gd.case_id::BIGINT % 3 = 0 THEN 'saaq' END AS reg
   FROM gd LEFT JOIN mt USING (case_id, gold_id) LEFT JOIN un USING (case_id, unit_id)),
 s AS (SELECT case_id, 'boundary_exact' AS name, count(*) FILTER (WHERE overlap = 1) AS hits, count(*) AS total FROM j GROUP BY 1
   UNION ALL SELECT case_id, 'class_agreement', count(*) FILTER (WHERE has AND cls), count(*) FILTER (WHERE has) FROM j GROUP BY 1
   UNION ALL SELECT case_id, 'date_exact', count(*) FILTER (WHERE has AND off = 0), count(*) FILTER (WHERE has) FROM j GROUP BY 1
-  UNION ALL SELECT case_id, 'date_within_3d', count(*) FILTER (WHERE has AND off <= 3), count(*) FILTER (WHERE has) FROM j GROUP BY 1)""") + """
+  UNION ALL SELECT case_id, 'date_within_3d', count(*) FILTER (WHERE has AND off <= 3), count(*) FILTER (WHERE has) FROM j GROUP BY 1
+  UNION ALL SELECT case_id, 'regime_agreement', count(*) FILTER (WHERE has AND reg = 'cnesst'), count(*) FILTER (WHERE has AND reg IS NOT NULL) FROM j GROUP BY 1
+  UNION ALL SELECT case_id, 'exclusion_agreement', count(*) FILTER (WHERE has AND out AND held), count(*) FILTER (WHERE has AND out) FROM j GROUP BY 1)""") + """
 SELECT case_id, name, hits, total, round(coalesce(hits / nullif(total, 0), 1), 6) AS value FROM s""")
 def manifest_score(spark, folder):
+    """All six scores; keys state a regime for most cases and an exclusion for every fifth."""
     units, gold = _key_units(spark, folder)
-    return scoring.manifest_score(gold, _matched(spark, folder), units).filter(
-        ~F.col("name").isin("regime_agreement", "exclusion_agreement")).select(
+    number = F.col("case_id").cast("long")
+    units = units.withColumn("excluded_by", F.when(F.col("doc_class") == "A", F.lit("rule.x")))
+    gold = gold.withColumns({
+        "regime": F.when(number % 2 == 0, "cnesst").when(number % 3 == 0, "saaq"),
+        "excluded_by": F.when(number % 5 == 0, F.lit("rule.x"))})
+    return scoring.manifest_score(gold, _matched(spark, folder), units).select(
         "case_id", "name", "hits", "total", F.round("value", 6).alias("value"))
 
 
