@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,18 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-__all__ = ["cut", "table", "texts", "as_bytes", "pieces"]
+__all__ = ["cut", "table", "texts", "as_bytes", "pieces", "held"]
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a worker keeps from task to task: one thing at a time, the one last asked for, so that
+    the tables of operators that follow one another do not add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import grid, lanes
-from .common import as_bytes, pieces, texts
+from .common import as_bytes, held, pieces, texts
 
 ORDER = 4
 #: A context is kept where the sample has it at least so often (in any language).
@@ -99,16 +99,13 @@ class Model:
         return step, bits
 
 
-_COMPILED: dict[str, tuple] = {}
-
-
 def _tables(handle) -> tuple[list[str], int, np.ndarray, np.ndarray]:
     """A worker compiles the model once, not once for each task."""
-    if handle.id not in _COMPILED:
-        _COMPILED.clear()
+    def make():
         model = handle.value
-        _COMPILED[handle.id] = (model.languages, model.order, *model.compiled())
-    return _COMPILED[handle.id]
+        return model.languages, model.order, *model.compiled()
+
+    return held(("language", handle.id), make)
 
 
 class Handle:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import held, pieces
 from .tokencount import Words, _byte_letters
 
 MAX_WORDS = 2_000_000
@@ -136,13 +136,8 @@ class Encoder:
         return ids, bounds
 
 
-_MADE: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _MADE:
-        _MADE[path] = Encoder(path)
-    return _MADE[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 class Packer:
