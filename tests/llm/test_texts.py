@@ -1,8 +1,11 @@
 """Operators on single texts: token counts, packing, personal data, language, quality, pages."""
 
 import collections
+import html
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -378,3 +381,86 @@ def test_addresses_with_endless_zeros_are_rows_like_others(spark):
     texts = ["1.2.3." + "0" * 5000, "1.2.3." + "0" * 5000 + "7", "1.2.3." + "9" * 5000, "0000.1.2.003"]
     assert [len(pii.base_spans(t)) for t in texts] == [1, 1, 0, 1]
     assert [pii.valid_ip(t) for t in texts] == [True, True, False, True]
+
+
+WORDS = "word " * 80 + "end"
+ARTICLE = f"<article><h1>Head</h1><p>{WORDS}</p></article>"
+
+
+def test_parts_that_hold_the_article_stay():
+    want, menu = f"Head {WORDS}", "<ul><li><a href=x>menu</a></ul>"
+    for page in (f"<form id=aspnetForm><input>{ARTICLE}</form>", f"<form><input>{ARTICLE}",
+                 f"<nav>{menu}{ARTICLE}", f"<header><h1>Site</h1>{menu}{ARTICLE}",
+                 f"<aside>{ARTICLE}</aside>", f"<div role=form>{ARTICLE}</div>",
+                 f"<div hidden>{ARTICLE}</div>", f"<head><meta x>{ARTICLE}",
+                 f"<form><nav>{menu}</nav><div><h1>Head</h1><p>{WORDS}</p></div><footer>f</footer>",
+                 f"<div>Home About us</div>{ARTICLE}<div>Copyright 2020</div>loose",
+                 f"<h1>Head</h1><article>{WORDS}</article><div>Copyright 2020</div>"):
+        assert htmltext.main_text(f"<body>{page}</body>") == want, page.replace(WORDS, "")
+    # A teaser in a sidebar is not the article, and neither are forms, menus and hidden parts.
+    body = f"<div><h1>Head</h1><p>{WORDS}</p></div>"
+    for part in ("<aside><article>teaser</article></aside>", "<form><label>Name</label></form>",
+                 f"<div hidden>{WORDS}</div>", f"<nav>{menu}</nav>", "<footer>foot</footer>"):
+        assert htmltext.main_text(f"<body>{part}{body}{part}</body>") == want, part
+    assert htmltext.main_text("<form><label>Name</label><input></form>") == ""
+    two = f"{ARTICLE}<div>Copyright</div><article><p>{WORDS}</p></article>"
+    assert htmltext.main_text(f"<body><div>{two}</div></body>") == f"{want} {WORDS}"
+
+
+def test_time_of_damaged_pages_grows_with_their_length():
+    for part in ("<a ", '<a "', "<a \"' ", "</b>", "<i><b></i>", "<b><div><i><i></b>", "<li>",
+                 "<nav><p>", "<form><b>", "<td><tr>", "<!--", "<![CDATA[", "<x '"):
+        start = time.time()
+        htmltext.main_text(f"<div>{part * (400_000 // len(part))}")
+        assert time.time() - start < 20, part
+
+
+def test_ends_of_tags_equal_those_of_a_plain_pattern():
+    plain = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+    rng = random.Random(11)
+    for _ in range(3000):
+        page = "".join(rng.choice("<<a >\"'x=") for _ in range(rng.randint(1, 40)))
+        tags = htmltext._Tags(page)
+        for at in range(len(page)):
+            m = plain.match(page, at)
+            assert tags.end(at) == (m.end() if m else -1), (page, at)
+
+
+def _random_tree(rng, depth: int) -> str:
+    if depth == 0 or rng.random() < 0.3:
+        return rng.choice(["plain text", "a &amp; b", "x" * rng.randint(1, 90), ""])
+    name = rng.choice(["div", "section", "a", "b", "td", "article", "main", "h2"])
+    inner = "".join(_random_tree(rng, depth - 1) for _ in range(rng.randint(0, 4)))
+    return f"<{name}>{inner}</{name}>"
+
+
+def test_densities_equal_a_recursive_count():
+    def counts(n):
+        """Characters, tags, characters in links, link tags."""
+        c = t = lc = lt = 0
+        for p in n.parts:
+            if isinstance(p, str):
+                c += len("".join(html.unescape(p).split()))
+                continue
+            pc, pt, plc, plt = counts(p)
+            c, t, lc, lt = c + pc, t + pt + 1, lc + plc, lt + plt + (p.name == "a")
+        return c, t, c if n.name == "a" else lc, lt
+
+    def density(n, body):
+        c, t, lc, lt = counts(n)
+        if not c:
+            return 0.0
+        t, lc, lt = max(t, 1), max(lc, 1), max(lt, 1)
+        base = math.log(c / max(c - counts(n)[2], 1) * lc + body[2] / max(body[0], 1) * c + math.e)
+        return max(0.0, c / t * math.log(c / lc * t / lt) / math.log(base) if base > 1.0001
+                   else c / t)
+
+    rng = random.Random(5)
+    for _ in range(150):
+        root = htmltext.parse("".join(_random_tree(rng, 4) for _ in range(4)))
+        body = counts(root)
+        for n in htmltext.measure(root):
+            assert math.isclose(n.density, density(n, body), abs_tol=1e-9)
+            assert math.isclose(n.score, sum(
+                density(p, body) for p in n.parts
+                if not isinstance(p, str) and p.name not in htmltext.INLINE), abs_tol=1e-9)
