@@ -450,8 +450,8 @@ def test_densities_equal_a_recursive_count():
         c, t, lc, lt = counts(n)
         if not c:
             return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + body[2] / max(body[0], 1) * c + math.e)
         t, lc, lt = max(t, 1), max(lc, 1), max(lt, 1)
-        base = math.log(c / max(c - counts(n)[2], 1) * lc + body[2] / max(body[0], 1) * c + math.e)
         return max(0.0, c / t * math.log(c / lc * t / lt) / math.log(base) if base > 1.0001
                    else c / t)
 
