@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-__all__ = ["cut", "table", "texts", "as_bytes", "pieces", "held"]
+__all__ = ["cut", "table", "texts", "as_bytes", "pieces", "held", "let_go"]
 
 _HELD: dict[tuple, object] = {}
 
@@ -20,11 +21,23 @@ def held(key: tuple, make: Callable[[], object]):
     """What a worker keeps from task to task: one thing at a time, the one last asked for, so that
     the tables of operators that follow one another do not add up."""
     if key not in _HELD:
-        _HELD.clear()
+        let_go()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def let_go() -> None:
+    """Give back what a worker holds, and freed memory that its allocators keep.  For the start of
+    a task that needs no held thing."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Other C libraries have no such call; their memory stays where it is.
+        pass
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -27,12 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, pieces, texts
+from .common import as_bytes, cut, let_go, pieces, texts
 from .components import components
 
 WORDS = 5
 SAMPLES, ROWS = 80, 4
 BUCKETS = 1 << 18
+#: Bytes of text that a worker shingles at a time.
+PIECE = 1 << 20
 #: Bits of the map of documents that have a candidate.
 BITS = 1 << 25
 #: Members of a bucket compared with one another's blocks at a time, and queries among them.
@@ -54,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 2 * PIECE)
         for name, factor in (("up", _P), ("down", _P_INVERSE)):
             out = np.full(size, factor, np.uint64)
             out[0] = 1
@@ -192,8 +194,9 @@ def frequencies(slim: DataFrame) -> tuple[np.ndarray, int]:
     driver receives at most BUCKETS rows, whatever the input.
     """
     def count(batches):
+        let_go()
         total, documents = np.zeros(BUCKETS, np.int64), 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             told = Shingled(batch.column("text"))
             documents += batch.num_rows
             for hashes, _ in told.sets():
@@ -216,10 +219,11 @@ def signatures(slim: DataFrame, weights) -> DataFrame:
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
+        let_go()
         draw = sampler().draw
         w = weights.value
         number = np.arange(SAMPLES // ROWS, dtype=np.uint64)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             told = Shingled(batch.column("text"))
             bands, samples = [], []
             for hashes, counts in told.sets():
@@ -252,8 +256,9 @@ def verify(pairs: DataFrame, slim: DataFrame, weights, threshold: float) -> Data
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def compare(batches):
+        let_go()
         w = weights.value
-        for batch in pieces(batches, "text_a", 2 << 20):
+        for batch in pieces(batches, "text_a", PIECE):
             sets = []
             for column in ("text_a", "text_b"):
                 told = Shingled(batch.column(column))
