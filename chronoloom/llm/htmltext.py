@@ -5,9 +5,9 @@ and the composite density
 
     C / T * log base ln(C / nLC * LC + LCb / Cb * C + e) of (C / LC * T / LT)
 
-with nLC = C - LC, LCb and Cb those of the body and counts that divide taken as one where they are zero.  A node's score is
-the sum of its child blocks' densities, and the node of the greatest score is the main subtree's
-core.  Where the core lies in an ``article``, that is the article, with the headings, articles and
+with nLC = C - LC, LCb and Cb those of the body and counts that divide taken as one where they are
+zero.  A node's score is the sum of its child blocks' densities, and the node of the greatest score
+is the main subtree's core.  Where the core lies in an ``article``, that is the article, with the headings, articles and
 dense blocks beside it in a ``main``; outside a ``main`` only other articles that reach the
 threshold stay beside it, and a first heading where it has none.  The threshold is the least
 density on the way from the core to the body.  A ``main`` without an ``article`` is taken whole.
