@@ -536,8 +536,11 @@ def _form_blocks(spark, folder):
 
     tick = F.when(key % 3 == 0, F.lit("[x] Oui [ ] Non")).when(key % 3 == 1, F.lit("[ ] Oui [x] Non")).otherwise(
         F.lit("[ ] Oui [ ] Non"))
-    rated = items.withColumnRenamed("l_orderkey", "o_orderkey")
-    place = 100 + (F.col("l_linenumber") * 100000 + F.col("l_partkey")) * 64 + F.col("l_quantity")
+    # An order has some lines, so its window is small; their number holds for keys of any size.
+    nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_quantity", "l_suppkey", "l_linestatus"))
+    rated = items.withColumn("nth", nth).withColumnRenamed("l_orderkey", "o_orderkey")
+    place = 100 + F.col("nth")
     row = F.concat(F.lit("Code "), F.col("l_partkey").cast("string"), F.lit(" 7  "),
                    F.col("l_quantity").cast("int").cast("string"), F.lit(" %"),
                    F.when(F.col("l_linestatus") == "F", F.lit("  1,5 % sur antérieur")).otherwise(""))
