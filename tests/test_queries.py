@@ -58,7 +58,7 @@ SHIFTED = """SELECT * REPLACE (l_partkey + {parts} * (l_suppkey % 2) AS l_partke
   l_suppkey + 1900 AS l_suppkey) FROM read_parquet('{folder}/lineitem.parquet')"""
 
 
-@pytest.mark.parametrize("name", ["table_rows", "rating_totals"])
+@pytest.mark.parametrize("name", ["table_rows", "rating_totals", "casefile_years"])
 def test_keys_of_large_tables(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
