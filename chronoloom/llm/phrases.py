@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, pieces
+from .common import as_bytes, cut, let_go, pieces
 
 #: Languages of rows that have none.
 NO_LANG = "und"
@@ -97,10 +97,25 @@ class Block:
         """Codes, goes_on, and per code its language and its word."""
         words = pa.chunked_array(self.words).unify_dictionaries().combine_chunks()
         langs = pa.chunked_array(self.langs).unify_dictionaries().combine_chunks()
+        goes_on = np.concatenate(self.goes_on)
+        self.words, self.langs, self.goes_on = [], [], []
         n = max(1, len(words.dictionary))
-        both = (langs.indices.to_numpy().astype(np.int64) * n + words.indices.to_numpy())
-        told, code = np.unique(both, return_inverse=True)
-        return (code, np.concatenate(self.goes_on), langs.dictionary.take(pa.array(told // n)),
+        both = langs.indices.to_numpy().astype(np.int64)
+        both *= n
+        both += words.indices.to_numpy()
+        room = n * len(langs.dictionary)
+        if room <= 2 * len(both) + (1 << 16):
+            # A table of all (language, word) is smaller than what sorting the codes would take.
+            seen = np.zeros(room, bool)
+            seen[both] = True
+            told = np.flatnonzero(seen)
+            code = np.cumsum(seen, dtype=np.int32)[both]
+            code -= 1
+        else:
+            told, code = np.unique(both, return_inverse=True)
+            code = code.astype(np.int32)
+        del both
+        return (code, goes_on, langs.dictionary.take(pa.array(told // n)),
                 words.dictionary.take(pa.array(told % n)))
 
 
@@ -126,6 +141,7 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 def count_words(slim: DataFrame, size: int = BLOCK) -> DataFrame:
     """lang, word and f, the number of its occurrences."""
     def count(batches):
+        let_go()
         for block in blocks(batches, size):
             code, _, lang, word = block.close()
             yield _batch(_WORDS, lang, word, np.bincount(code, minlength=len(word)))
@@ -151,8 +167,12 @@ def marks(words: DataFrame, least: int) -> np.ndarray:
 def _hashes(lang: pa.Array, word: pa.Array) -> np.ndarray:
     """Spark's xxhash64 of (language, word)."""
     seeds = {one: xxhash.xxh64_intdigest(one.encode(), 42) for one in lang.unique().to_pylist()}
-    return np.array([xxhash.xxh64_intdigest(w.encode(), seeds[one])
-                     for one, w in zip(lang.to_pylist(), word.to_pylist())], np.uint64)
+    out = np.empty(len(word), np.uint64)
+    for at in range(0, len(word), 1 << 16):  # few words at a time are Python objects
+        part = slice(at, at + (1 << 16))
+        out[part] = [xxhash.xxh64_intdigest(w.encode(), seeds[one])
+                     for one, w in zip(lang[part].to_pylist(), word[part].to_pylist())]
+    return out
 
 
 def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -215,6 +235,7 @@ def suffixes(slim: DataFrame, bits: np.ndarray, slots: int = SLOTS[0],
     held = slim.sparkSession.sparkContext.broadcast(bits)
 
     def make(batches):
+        let_go()
         for block in blocks(batches, size):
             code, goes_on, lang, word = block.close()
             hashes = _hashes(lang, word)
@@ -223,15 +244,23 @@ def suffixes(slim: DataFrame, bits: np.ndarray, slots: int = SLOTS[0],
             two[:-1] = marked[:-1] & marked[1:] & goes_on[1:]
             at = np.flatnonzero(two)
             three = np.append(two[1:], False)[at]
-            n = len(word) + 1
-            _, pair = np.unique(code[at] * n + code[at + 1], return_inverse=True)
-            last = np.where(three, code[np.minimum(at + 2, len(code) - 1)], -1)
-            _, where, c = np.unique(pair * n + last, return_index=True, return_counts=True)
-            at, last = at[where], last[where]
-            path = {"lang": (code[at], lang), "w1": (code[at], word), "w2": (code[at + 1], word),
-                    "w3": (last, word)}
+            last = np.where(three, code[np.minimum(at + 2, len(code) - 1)], np.int32(-1))
+            first, second = code[at], code[at + 1]
             # Codes are of (language, word); a language has as many codes as words.
-            slot = (hashes[code[at]] >> np.uint64(48)).astype(np.int64) % slots
+            del code, goes_on, marked, two, three, at
+            order = np.lexsort((last, second, first))
+            first, second, last = first[order], second[order], last[order]
+            del order
+            new = np.ones(len(first), bool)
+            new[1:] = ((first[1:] != first[:-1]) | (second[1:] != second[:-1])
+                       | (last[1:] != last[:-1]))
+            where = np.flatnonzero(new)
+            c = np.diff(where, append=len(new))
+            first, second, last = first[where], second[where], last[where]
+            del new, where
+            path = {"lang": (first, lang), "w1": (first, word), "w2": (second, word),
+                    "w3": (last, word)}
+            slot = ((hashes >> np.uint64(48)).astype(np.int32) % slots)[first]
             rows = []
             for one, number, packet in _dealt(path, c, slot):
                 rows.append((one, None, None, number, packet))

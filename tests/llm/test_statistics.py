@@ -257,3 +257,20 @@ def test_quality_of_odd_tables(spark):
     assert told[1]["score"] > told[4]["score"] and told[2]["score"] == told[3]["score"]
     assert linequality.classify(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in linequality.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_a_block_of_words_closes_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n = 1 << 18
+    text = " ".join(f"w{i}" for i in rng.integers(0, 20000, n))
+    block = phrases.Block()
+    block.add(pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text]}))
+    tracemalloc.start()
+    code, goes_on, lang, word = block.close()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * n
+    assert len(code) == n and goes_on.sum() == n - 1 and set(lang.to_pylist()) == {"en"}
+    assert " ".join(word.take(pa.array(code)).to_pylist()) == text
