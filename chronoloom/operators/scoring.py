@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -62,16 +64,41 @@ def overlaps(unit_pages: DataFrame, gold_pages: DataFrame) -> DataFrame:
         F.col("both") / (F.col("n_unit") + F.col("n_gold") - F.col("both"))).alias("overlap"))
 
 
-def _choose(frame: pd.DataFrame) -> pd.DataFrame:
-    """Gold units of one case in order, each with its best unit that is still free."""
-    frame = frame.sort_values(["gold_ord", "overlap", "unit_ord"], ascending=[True, False, True])
-    done, used, rows = set(), set(), []
-    for i, (gold, unit) in enumerate(zip(frame["gold_ord"], frame["unit_id"])):
-        if gold not in done and unit not in used:
-            done.add(gold)
-            used.add(unit)
-            rows.append(i)
-    return frame.iloc[rows][["case_id", "gold_id", "gold_ord", "unit_id", "overlap"]]
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gold units in order, each with its best unit that is still free.
+
+    Rows come case by case, in the order in which they are tried; one pass serves all cases of a
+    task, since most have a pair or two.
+    """
+    case = gold = None
+    used: set[str] = set()
+    for batch in batches:
+        own = batch.column("case_id").to_pylist()
+        golds, names = batch.column("gold_ord").to_pylist(), batch.column("unit_id").to_pylist()
+        rows = []
+        for i, (a, g, unit) in enumerate(zip(own, golds, names, strict=True)):
+            if a != case:
+                case, gold = a, None
+                used.clear()
+            if g != gold and unit not in used:
+                gold = g
+                used.add(unit)
+                rows.append(i)
+        if rows:
+            yield batch.take(pa.array(rows))
+
+
+def _chunked(open_: DataFrame, chunk_pairs: int) -> DataFrame:
+    """The pairs with the ``chunk`` of their gold unit: 0 but for cases of more than a chunk."""
+    case = open_.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(case.where(F.col("n") > chunk_pairs).select("case_id"))
+    if large.isEmpty():
+        return open_.withColumn("chunk", F.lit(0).cast("long"))
+    sizes = open_.join(large, "case_id", "left_semi").groupBy("case_id", "gold_ord").agg(
+        F.count(F.lit(1)).alias("n"))
+    placed = running(cut(sizes), ["case_id"], ["gold_ord"], sums={"upto": F.col("n")}).select(
+        "case_id", "gold_ord", F.floor((F.col("upto") - F.col("n")) / chunk_pairs).alias("chunk"))
+    return cut(open_.join(placed, ["case_id", "gold_ord"], "left").fillna(0, "chunk"))
 
 
 def match_units(pairs: DataFrame, gold: DataFrame, units: DataFrame, chunk_pairs: int = 1 << 16) -> DataFrame:
@@ -84,18 +111,19 @@ def match_units(pairs: DataFrame, gold: DataFrame, units: DataFrame, chunk_pairs
     side.  A chunk sees the pairs whose unit no earlier chunk took.  Runs jobs.  Gold units
     without a match are not in the result.
     """
-    open_ = cut(pairs.join(gold, ["case_id", "gold_id"]).join(units, ["case_id", "unit_id"]))
-    sizes = open_.groupBy("case_id", "gold_ord").agg(F.count(F.lit(1)).alias("n"))
-    placed = running(cut(sizes), ["case_id"], ["gold_ord"], sums={"upto": F.col("n")}).select(
-        "case_id", "gold_ord", F.floor((F.col("upto") - F.col("n")) / chunk_pairs).alias("chunk"))
-    open_ = cut(open_.join(placed, ["case_id", "gold_ord"]))
-    schema = StructType([open_.schema[c] for c in ("case_id", "gold_id", "gold_ord", "unit_id", "overlap")])
+    open_ = cut(pairs.join(gold, ["case_id", "gold_id"]).join(units, ["case_id", "unit_id"]).where(
+        F.col("gold_ord").isNotNull()))
+    open_ = _chunked(open_, chunk_pairs)
+    kept = ("case_id", "gold_id", "gold_ord", "unit_id", "overlap")
+    schema = StructType([open_.schema[c] for c in kept])
+    order = ("case_id", "gold_ord", F.desc("overlap"), F.asc_nulls_last("unit_ord"), "unit_id", "gold_id")
     taken = None
     for turn in range((open_.agg(F.max("chunk")).head()[0] or 0) + 1):
         rows = open_.where(F.col("chunk") == turn)
         if taken is not None:
             rows = rows.join(taken, ["case_id", "unit_id"], "left_anti")
-        got = cut(rows.groupBy("case_id").applyInPandas(_choose, schema))
+        tried = rows.repartition("case_id").sortWithinPartitions(*order).select(*kept)
+        got = cut(tried.mapInArrow(_choose, schema))
         taken = got if taken is None else taken.unionByName(got)
     return taken
 

@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,33 @@ def test_unit_match_follows_the_key_order(spark):
     assert scoring.match_units(tables[0].limit(0), *tables[1:]).count() == 0
 
 
+def test_unit_match_goes_through_many_cases_in_one_pass():
+    """A task's cases share one call, and a case may run over from one batch to the next."""
+    rows = [(f"c{c}", f"c{c}g{g}", g, f"c{c}u{u}", 0.5) for c in range(2000) for g in (0, 1) for u in (0, 1)]
+    names = ["case_id", "gold_id", "gold_ord", "unit_id", "overlap"]
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows])
+    for size in (1, 3, 8000):
+        got = [r for b in scoring._choose(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert [(r["gold_id"], r["unit_id"]) for r in got] == [
+            (f"c{c}g{g}", f"c{c}u{g}") for c in range(2000) for g in (0, 1)]
+
+
+def test_unit_match_with_one_large_case_among_small_ones(spark):
+    """Only the large case is cut into chunks; all are matched as without chunks."""
+    rng = random.Random(5)
+    pairs = [("big", f"g{i}", f"u{j}", rng.choice([0.2, 0.5, 1.0])) for i in range(40) for j in range(40)
+             if rng.random() < 0.3]
+    pairs += [(f"s{c}", "g0", f"u{j}", 0.5) for c in range(50) for j in (1, 0)]
+    df = spark.createDataFrame(pairs, "case_id string, gold_id string, unit_id string, overlap double")
+    gold = df.select("case_id", "gold_id", F.substring("gold_id", 2, 9).cast("int").alias("gold_ord")).distinct()
+    us = df.select("case_id", "unit_id", F.substring("unit_id", 2, 9).cast("int").alias("unit_ord")).distinct()
+    whole, cut_up = (
+        {(r.case_id, r.gold_id): r.unit_id for r in scoring.match_units(df, gold, us, chunk_pairs=n).collect()}
+        for n in (1 << 16, 25))
+    assert whole == cut_up
+    assert len(whole) > 80 and all(whole[f"s{c}", "g0"] == "u0" for c in range(50))
+
+
 def test_unit_match_along_a_chain_of_ten_thousand_rivals(spark):
     """Each gold unit would rather have what the one before it takes."""
     n = 10_000
