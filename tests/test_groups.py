@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.functions.similarity import reaches
-from chronoloom.operators import duplicates, near_duplicates, scoring, units
+from chronoloom.operators import duplicates, near_duplicates, rejoin, scoring, units
 
 PRINT = ("case_id string, bundle_id string, unit_id string, doc_class string, row_date date, author string,"
          " form_serial string, content string, annotations array<string>, transmission array<string>")
@@ -171,6 +171,21 @@ def test_rejoin_of_one_large_file(spark):
         assert sorted((r["host_start"], r["group_start"]) for r in moved) == want
 
 
+def test_rejoin_goes_through_many_files_in_one_pass():
+    """A task's files share one call, and a file may run over from one batch to the next."""
+    columns = list(rejoin._COLUMNS)
+    rows = [{**dict.fromkeys(columns), "bundle_id": f"b{b:04}", "group_start": k, "last_page": k, "first_k": k,
+             "first_n": 3, "last_k": k, "last_n": 3, "chunk": 0, "top": 0, "cell": 0, "itself": True}
+            for b in range(1500) for k in (1, 2, 3)]
+    kinds = dict(zip(columns, rejoin._KINDS)) | {"cell": pa.int32(), "itself": pa.bool_()}
+    table = pa.Table.from_pylist(rows, pa.schema(kinds))
+    for size in (1, 2, 4500):
+        got = [r for b in rejoin._visits(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert [(r["bundle_id"], r["group_start"], r["host_start"]) for r in got] == [
+            (r["bundle_id"], r["group_start"], None if r["group_start"] == 1 else 1) for r in rows]
+    assert list(rejoin._visits(iter(table.slice(0, 0).to_batches()))) == []
+
+
 def test_unit_match_follows_the_key_order(spark):
     rng = random.Random(2)
     pairs, gold, us, want = [], [], [], {}
