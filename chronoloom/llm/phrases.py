@@ -7,7 +7,7 @@ Counts come from depth-truncated suffix trees, built by vertical partitioning:
    every suffix, since no phrase that holds it can be frequent.
 2. The suffixes, cut after three words, are written once, equal ones of a block of text as one
    with a count.  They are dealt by the hash of their first word into slots, and those of a block
-   and slot make one packet (an Arrow stream with dictionaries), so that a shuffle moves few and
+   and slot make one packet (steps of codes, and each word once), so that a shuffle moves few and
    small rows.  The packets of a slot over the memory budget are split by the second and, if need
    be, the third word.  Slots are then packed into groups within the budget, so that a word that
    starts a third of all suffixes is many groups.
@@ -184,42 +184,88 @@ def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return bits[bucket * 4096 + place // 8] >> (place % 8).astype(np.uint8) & 1 > 0
 
 
-def _packed(path: dict[str, tuple[np.ndarray, pa.Array]], c: np.ndarray) -> bytes:
-    """Suffixes as an Arrow stream: codes of each column (-1: null) with the words they stand for."""
-    columns = {}
-    for name, (code, words) in path.items():
-        told, own = np.unique(code, return_inverse=True)
-        none = int(len(told) > 0 and told[0] < 0)
-        columns[name] = pa.DictionaryArray.from_arrays(
-            pa.array((own - none).astype(np.int32), mask=code < 0 if none else None),
-            words.take(pa.array(told[none:])))
-    batch = pa.RecordBatch.from_pydict({**columns, "c": pa.array(c)})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema,
-                           options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(packets: list[bytes]) -> tuple[dict[str, tuple[np.ndarray, pa.Array]], np.ndarray]:
-    """Several packets as one: path and counts."""
-    table = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in packets])
-    table = table.unify_dictionaries().combine_chunks()
-    path = {}
-    for name in ("lang", "w1", "w2", "w3"):
-        column = table.column(name).combine_chunks()
-        path[name] = (column.indices.fill_null(-1).to_numpy().astype(np.int64), column.dictionary)
-    return path, table.column("c").to_numpy()
-
-
-def _dealt(path: dict, c: np.ndarray, slot: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+def _zstd() -> pa.Codec:
+    """How packets are compressed."""
+    return pa.Codec("zstd", compression_level=3)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Steps from number to number, lowest bytes first: what is sorted becomes small and alike."""
+    step = np.diff(x, prepend=0)
+    step = ((step << 1) ^ (step >> 63)).astype("<i8")
+    return step.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: memoryview, n: int) -> np.ndarray:
+    """What ``_planes`` made of n numbers."""
+    step = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, n).T).view("<i8")[:, 0]
+    return np.cumsum((step >> 1) ^ -(step & 1))
+
+
+def _packed(lang: np.ndarray, langs: pa.Array, code: np.ndarray, words: pa.Array,
+            c: np.ndarray) -> bytes:
+    """Suffixes as one value: three codes of words each (-1: none), the language's code, counts,
+    and the languages and words that occur, each once."""
+    told, own = np.unique(code, return_inverse=True)
+    own = own.reshape(code.shape)
+    if len(told) and told[0] < 0:
+        told, own = told[1:], own - 1
+    used, lang = np.unique(lang, return_inverse=True)
+    spoken = langs.take(pa.array(used)).dictionary_encode()
+    lang = spoken.indices.to_numpy()[lang] if len(lang) else lang
+    lists = []
+    for column in (spoken.dictionary, words.take(pa.array(told))):
+        text, at = as_bytes(column)
+        lists.append((len(column), len(text), _planes(np.diff(at)) + text.tobytes()))
+    numbers = [_planes(x.astype(np.int64)) for x in (lang, *own, c)]
+    raw = b"".join([*(x for *_, x in lists), *numbers])
+    head = np.array([len(raw), len(c), *(n for one in lists for n in one[:2])], "<i8")
+    return head.tobytes() + _zstd().compress(raw, asbytes=True)
+
+
+def _opened(packet: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    """What ``_packed`` was given, but for the numbering of languages and words."""
+    size, n, *lists = np.frombuffer(packet, "<i8", 6).tolist()
+    raw = memoryview(_zstd().decompress(memoryview(packet)[48:], size, asbytes=True))
+    at, told = 0, []
+    for count, length in zip(lists[::2], lists[1::2]):
+        ends = np.cumsum(_numbers(raw[at:at + 8 * count], count))
+        at += 8 * count
+        told.append(pa.LargeStringArray.from_buffers(
+            count, pa.py_buffer(np.append(0, ends).astype("<i8").tobytes()),
+            pa.py_buffer(bytes(raw[at:at + length]))))
+        at += length
+    lang, *code, c = (_numbers(raw[i:i + 8 * n], n) for i in range(at, at + 40 * n, 8 * n)) if n else (
+        np.zeros((5, 0), np.int64))
+    return lang, told[0], np.stack(code), told[1], c
+
+
+def _unified(parts: list[tuple[np.ndarray, pa.Array]]) -> tuple[np.ndarray, pa.Array]:
+    """Codes of several dictionaries (-1: none), one after the other, as codes of one."""
+    arrays = [pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32), mask=code < 0), told)
+              for code, told in parts]
+    one = pa.chunked_array(arrays).unify_dictionaries().combine_chunks()
+    return one.indices.fill_null(-1).to_numpy().astype(np.int64), one.dictionary
+
+
+def _unpacked(packets: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    """Several packets as one, in the form that ``_packed`` takes."""
+    lang, langs, code, words, c = zip(*map(_opened, packets))
+    at, words = _unified([(x.ravel(), w) for x, w in zip(code, words)])
+    cuts = np.cumsum([0] + [x.size for x in code])
+    code = np.concatenate([at[lo:hi].reshape(3, -1) for lo, hi in zip(cuts, cuts[1:])], axis=1)
+    lang, langs = _unified(list(zip(lang, langs)))
+    return lang, langs, code, words, np.concatenate(c)
+
+
+def _dealt(lang: np.ndarray, langs: pa.Array, code: np.ndarray, words: pa.Array, c: np.ndarray,
+           slot: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """The suffixes of each slot: slot, number, packet."""
     order = np.argsort(slot, kind="stable")
     edges = np.flatnonzero(np.diff(slot[order], prepend=-1, append=1 << 40))
     for lo, hi in zip(edges, edges[1:]):
         own = order[lo:hi]
-        yield int(slot[own[0]]), hi - lo, _packed(
-            {k: (code[own], words) for k, (code, words) in path.items()}, c[own])
+        yield int(slot[own[0]]), hi - lo, _packed(lang[own], langs, code[:, own], words, c[own])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -258,11 +304,11 @@ def suffixes(slim: DataFrame, bits: np.ndarray, slots: int = SLOTS[0],
             c = np.diff(where, append=len(new))
             first, second, last = first[where], second[where], last[where]
             del new, where
-            path = {"lang": (first, lang), "w1": (first, word), "w2": (second, word),
-                    "w3": (last, word)}
             slot = ((hashes >> np.uint64(48)).astype(np.int32) % slots)[first]
+            path = np.stack([first, second, last])
+            del first, second, last
             rows = []
-            for one, number, packet in _dealt(path, c, slot):
+            for one, number, packet in _dealt(path[0], lang, path, word, c, slot):
                 rows.append((one, None, None, number, packet))
                 if len(rows) == 64:
                     yield _rows(rows)
@@ -275,18 +321,16 @@ def suffixes(slim: DataFrame, bits: np.ndarray, slots: int = SLOTS[0],
 
 def _extended(packets: DataFrame, depth: int) -> DataFrame:
     """The packets split by the hash of their word number ``depth``."""
-    word = f"w{depth}"
-
     def split(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                path, c = _unpacked([row["packet"]])
-                code, words = path[word]
+                suffixes_ = _unpacked([row["packet"]])
+                code, words = suffixes_[2][depth - 1], suffixes_[3]
                 slot_of = np.array([xxhash.xxh64_intdigest(w.encode()) % SPLIT
                                     for w in words.to_pylist()] + [0], np.int64)
                 keys = (row["s1"],) if depth == 2 else (row["s1"], row["s2"])
                 rows = [((*keys, one, None)[:3] + (number, packet))
-                        for one, number, packet in _dealt(path, c, slot_of[code])]
+                        for one, number, packet in _dealt(*suffixes_, slot_of[code])]
                 yield _rows(rows)
 
     return packets.mapInArrow(split, _PACKETS)
@@ -332,8 +376,8 @@ def nodes(packets: DataFrame, least: int, budget: int = BUDGET) -> DataFrame:
     """lang, w1, w2, w3 (null: a node of two words) and f of the trees' nodes with f >= least."""
     def tree(table: pa.Table) -> pa.Table:
         deep = table.column("s3").null_count == 0
-        path, c = _unpacked(table.column("packet").to_pylist())
-        code = np.stack([x for x, _ in path.values()])
+        lang, langs, code, words, c = _unpacked(table.column("packet").to_pylist())
+        code = np.concatenate([lang[None], code])
         order = np.lexsort(code[::-1])
         code, c = code[:, order], c[order]
         new = np.zeros(len(c), bool)
@@ -352,9 +396,10 @@ def nodes(packets: DataFrame, least: int, budget: int = BUDGET) -> DataFrame:
                 keep &= code[3, at] >= 0
             at, f = at[keep], f[keep]
             columns = {"f": pa.array(f), "whole": pa.array(np.full(len(f), whole))}
-            for i, (name, (_, words)) in enumerate(path.items()):
+            for i, name in enumerate(("lang", "w1", "w2", "w3")):
                 own = code[i, at] if i <= level else np.full(len(at), -1)
-                columns[name] = words.take(pa.array(own, mask=own < 0)).cast(pa.string())
+                told = words if i else langs
+                columns[name] = told.take(pa.array(own, mask=own < 0)).cast(pa.string())
             out.append(pa.RecordBatch.from_pydict(
                 {name: columns[name] for name in ("lang", "w1", "w2", "w3", "f", "whole")}))
         return pa.Table.from_batches(out)

@@ -274,3 +274,29 @@ def test_a_block_of_words_closes_in_little_memory():
     assert peak < 24 * n
     assert len(code) == n and goes_on.sum() == n - 1 and set(lang.to_pylist()) == {"en"}
     assert " ".join(word.take(pa.array(code)).to_pylist()) == text
+
+
+def test_packets_of_suffixes_hold_each_word_once():
+    """What is packed comes back, and many small packets are not much larger than one large one."""
+    rng = np.random.default_rng(3)
+    words = pa.array([f"wort{i}\u00e9" for i in range(3000)], pa.large_string())
+    langs = pa.array(["de\nx" if i % 2 else "" for i in range(3000)], pa.large_string())
+    code = np.stack([rng.integers(0, 3000, 40_000) for _ in range(3)])
+    code[2, rng.random(40_000) < 0.2] = -1
+    code = code[:, np.lexsort(code[::-1])].astype(np.int32)
+    c, slot = rng.integers(1, 1 << 40, 40_000), code[0] % 1000
+    def rows(lang, langs, code, words, c):
+        spoken, told = langs.to_pylist(), [*words.to_pylist(), None]
+        return sorted(zip((spoken[i] for i in lang), *([told[i] for i in x] for x in code), c.tolist()), key=repr)
+
+    want = rows(code[0], langs, code, words, c)
+    dealt = list(phrases._dealt(code[0], langs, code, words, c, slot))
+    assert sum(n for _, n, _ in dealt) == 40_000
+    assert rows(*phrases._unpacked([p for *_, p in dealt])) == want
+    one = phrases._packed(code[0], langs, code, words, c)
+    assert rows(*phrases._unpacked([one])) == want
+    empty = phrases._packed(code[0][:0], langs, code[:, :0], words, c[:0])
+    assert rows(*phrases._unpacked([empty, one])) == want
+    ones = np.ones(40_000, np.int64)
+    many = sum(len(p) for *_, p in phrases._dealt(code[0], langs, code, words, ones, slot))
+    assert many < 3.5 * len(phrases._packed(code[0], langs, code, words, ones))
