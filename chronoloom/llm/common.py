@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-__all__ = ["cut", "table", "texts", "as_bytes", "pieces", "held", "let_go"]
+__all__ = ["cut", "table", "texts", "as_bytes", "pieces", "held", "give_back", "let_go"]
 
 _HELD: dict[tuple, object] = {}
 
@@ -26,10 +26,9 @@ def held(key: tuple, make: Callable[[], object]):
     return _HELD[key]
 
 
-def let_go() -> None:
-    """Give back what a worker holds, and freed memory that its allocators keep.  For the start of
-    a task that needs no held thing."""
-    _HELD.clear()
+def give_back() -> None:
+    """Give back freed memory that a worker's allocators keep.  For the end of a task: a worker that
+    waits for its next one counts too."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -38,6 +37,12 @@ def let_go() -> None:
         pass
 
 
+def let_go() -> None:
+    """Give back what a worker holds as well.  For the start of a task that needs no held thing."""
+    _HELD.clear()
+    give_back()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import grid, lanes
-from .common import as_bytes, held, pieces, texts
+from .common import as_bytes, give_back, held, pieces, texts
 
 ORDER = 4
 #: A context is kept where the sample has it at least so often (in any language).
@@ -231,6 +231,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             names, share, _ = _judged(handle, batch.column("text"), batch.column(mark))
             keep = pa.array((names != NO_LETTER) & (share >= least))
             yield batch.select(schema.names).filter(keep)
+        give_back()
 
     return docs.where(F.col("text").isNotNull()).withColumn(
         mark, F.col("text").rlike("\\p{L}")).mapInArrow(choose, schema)

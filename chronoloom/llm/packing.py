@@ -26,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, pieces
+from .common import give_back, held, pieces
 from .tokencount import Words, _byte_letters
 
 MAX_WORDS = 2_000_000
+#: Bytes of texts that are encoded at once; what a task holds beside its pool grows with them.
+PIECE = 1 << 19
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -59,7 +61,7 @@ class Encoder:
 
     def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(data) > self.size:
-            self.size = max(len(data), 1 << 20)
+            self.size = 1 << max(18, (len(data) - 1).bit_length())
             self.powers = [_powers(f, self.size) for f in _FACTORS]
             self.inverse = [_powers(np.uint64(pow(int(f), -1, 1 << 64)), self.size)
                             for f in _FACTORS]
@@ -282,7 +284,7 @@ def pack(docs: DataFrame, path: str, max_tokens: int = 4096, max_segments: int =
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset",
                  "loss_tokens"])
 
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", PIECE):
             key_type = batch.column("doc_id").type
             ids, at = encode(batch.column("text").to_pylist())
             # Each example owns its ids, so that the batch can go while some are in the pool.
@@ -294,6 +296,7 @@ def pack(docs: DataFrame, path: str, max_tokens: int = 4096, max_segments: int =
         packer.flush()
         if packer.done:
             yield out(packer.rows())
+        give_back()
 
     return slim.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, "
                            "doc_tokens long, sequence_id long, offset long, loss_tokens long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import give_back, pieces, texts
 
 KINDS = ("email", "ip", "card", "phone")
 CORE, MARGIN = 64, 32
@@ -505,5 +505,6 @@ def mask(docs: DataFrame, model: Model | None = None, text_col: str = "text") ->
                 new.append(text if not row else "".join(parts) + text[at:])
             place = batch.schema.get_field_index(text_col)
             yield batch.set_column(place, text_col, pa.array(new, pa.string()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

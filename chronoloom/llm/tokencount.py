@@ -50,8 +50,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            special = [t["content"] for t in json.load(f)["added_tokens"]]
+        # Asked from the library: the file as Python objects would take far more than the tokenizer.
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))
                                   or r"(?!)")
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)

@@ -96,6 +96,33 @@ def test_packing_round_trip(spark, limits):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
+def test_packing_encodes_few_texts_at_a_time():
+    """What encoding holds beside the tokenizer follows its pieces, not the batch it is given."""
+    import json
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from chronoloom.llm.common import pieces
+
+    coder = packing.Encoder(PATH)
+    with open(PATH, encoding="utf-8") as f:
+        listed = {t["content"] for t in json.load(f)["added_tokens"]}
+    assert all(coder.words.special.fullmatch(t) for t in listed)
+    rng = random.Random(1)
+    batch = pa.RecordBatch.from_pydict({"text": [
+        " ".join(rng.choice(("one", "other", "thing", "of", "two")) for _ in range(400)) for _ in range(2500)]})
+    assert sum(map(len, batch.column("text").to_pylist())) > 4 << 20
+    tracemalloc.start()
+    try:
+        for piece in pieces(iter([batch]), "text", packing.PIECE):
+            coder.encode(piece.column("text").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
+
+
 def test_packing_counts_loss_after_the_prompt(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h", 4), (2, "x y z", 100), (3, "q", None)],
                                "doc_id long, text string, prompt long")
