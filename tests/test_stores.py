@@ -53,3 +53,22 @@ def test_scratch_tables_without_settings(tmp_path, code):
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(ROOT)}
     done = subprocess.run([sys.executable, "-c", program], env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_written_files_are_stored_once_in_reading_order(spark):
+    """Typed lines are the clustered store itself: no copy of it, and no wide row is shuffled."""
+    from chronoloom.plans.queries import casefiles
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).is_dir():
+        pytest.skip("no test tables")
+    stored = casefiles.typed_blocks(spark, folder)
+    assert stored.inputFiles() and all("/blocks/v=1/" in f for f in stored.inputFiles())
+    places = stored.select("bundle_id", "pdf_index", "ord", F.input_file_name().alias("f"), F.col(
+        "_metadata.row_index").alias("at")).collect()
+    by_file = {}
+    for r in sorted(places, key=lambda r: (r["f"], r["at"])):
+        by_file.setdefault(r["f"], []).append((r["bundle_id"], r["pdf_index"], r["ord"]))
+    assert all(rows == sorted(rows) for rows in by_file.values())
+    ranges = sorted((rows[0], rows[-1]) for rows in by_file.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
