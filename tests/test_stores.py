@@ -72,3 +72,20 @@ def test_written_files_are_stored_once_in_reading_order(spark):
     assert all(rows == sorted(rows) for rows in by_file.values())
     ranges = sorted((rows[0], rows[-1]) for rows in by_file.values())
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_dates_of_files_need_no_described_unit(spark, monkeypatch):
+    """Every date comes from pages and lines; documents are not classified for it."""
+    from chronoloom.plans import manifest
+    from chronoloom.plans.queries import casefiles
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).is_dir():
+        pytest.skip("no test tables")
+    whole = casefiles._manifest(spark, folder)
+    lines = whole.blocks.select("block_id", "pdf_index", "unit_id")
+    facts = whole.facts.select("block_id", "pdf_index", "unit_id")
+    assert facts.count() > 0 and facts.join(lines, facts.columns, "left_anti").isEmpty()
+    casefiles.kept.__globals__["_KEPT"].clear()
+    monkeypatch.setattr(manifest, "document_hits", None)
+    assert casefiles.casefile_dates(spark, folder).count() == whole.facts.count()
