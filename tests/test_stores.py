@@ -89,3 +89,18 @@ def test_dates_of_files_need_no_described_unit(spark, monkeypatch):
     casefiles.kept.__globals__["_KEPT"].clear()
     monkeypatch.setattr(manifest, "document_hits", None)
     assert casefiles.casefile_dates(spark, folder).count() == whole.facts.count()
+
+
+def test_labels_of_files_need_no_typed_line(spark, monkeypatch):
+    """Page labels come from the lines in the label band alone, as typing would find them."""
+    from chronoloom.operators import pages
+    from chronoloom.plans.queries import casefiles
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).is_dir():
+        pytest.skip("no test tables")
+    typed = pages.confirm_labels(pages.label_candidates(casefiles.typed_blocks(spark, folder)))
+    want = sorted(map(tuple, typed.collect()))
+    monkeypatch.setattr(casefiles, "typed_blocks", None)
+    got = sorted(map(tuple, casefiles.casefile_labels(spark, folder).collect()))
+    assert want and got == want
