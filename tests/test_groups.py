@@ -58,6 +58,28 @@ def test_near_duplicates_follow_the_greedy_rule(spark, seed):
     assert got
 
 
+@pytest.mark.parametrize("block, close", [(3, 16), (512, 0)])
+def test_near_duplicates_in_crowds_follow_the_greedy_rule(spark, monkeypatch, block, close):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "CLOSE", close)
+    rows = _near_copies(5)
+    df = spark.createDataFrame(rows, PRINT).repartition(4)
+    got = {r.unit_id: r.duplicate_of for r in near_duplicates.removable(df).collect()}
+    assert got == _greedy(rows) and got
+
+
+def test_unlike_texts_with_a_common_part_do_not_meet(spark):
+    """A letter sent many times over is no reason to compare what else was written."""
+    rng = random.Random(11)
+    rows = [("g", f"c{i}", (f"b{i}", f"u{i}"), "the same words at the end " * 12 + "".join(
+        rng.choice("abcdefghijklm nopqrstuvwxyz") for _ in range(400))) for i in range(12)]
+    df = spark.createDataFrame(
+        rows, "grp string, cid string, first struct<bundle_id: string, unit_id: string>, text string")
+    assert near_duplicates._listed(df, 0.97).isEmpty()
+    twin = spark.createDataFrame([("g", "d", ("c", "u"), rows[0][3] + "x")], df.schema)
+    assert {r.cid for r in near_duplicates._listed(df.unionByName(twin), 0.97).collect()} == {"c0", "d"}
+
+
 def test_similarity_bound_is_exact(spark):
     rows = _near_copies(4)
     pairs = [(a[7], b[7]) for a in rows[:25] for b in rows[25:50]]
