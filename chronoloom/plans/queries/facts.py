@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ... import rules
+from ...functions import text as tx
 from ...operators import assemble, claims, corrections, cues, dates, delta, report
 from ...session import shared_folder
 from ...sinks import export, fragments
@@ -450,15 +451,32 @@ def unit_tally(spark, folder):
 NEW_BUNDLE = "b3"
 
 
+#: Where a line stands in its row; lines of items are all of one kind and no field's.
+_LINE_PLACE = ["bundle_id", "first_page", "pdf_index", "ord", "block_id"]
+
+
+def _run_lines(spark, folder) -> DataFrame:
+    """(row_id, before, after): each line of a row with its first place in either run.
+
+    The runs differ by whole bundles only, so both are read off the same lines in one pass.
+    """
+    def folded():
+        lines = tables.item_bullets(spark, folder, encounters(spark, folder))
+        place = F.struct(*_LINE_PLACE, "text")
+        return lines.groupBy("row_id", tx.fold(F.col("text")).alias("line")).agg(
+            F.min(F.when(F.col("bundle_id") != NEW_BUNDLE, place)).alias("before"),
+            F.min(place).alias("after")).drop("line")
+
+    return shared(spark, folder, "run_lines", folded)
+
+
 def _run(spark, folder, tag: str, bundles) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, numbered bullets, locators) of a run over some bundles."""
-    def bucketed():
-        return assemble.bucket(encounter_units(spark, folder).filter(bundles), PACK)
-
-    placed = shared(spark, folder, f"run_units_{tag}", bucketed)
+    placed = encounters(spark, folder).filter(bundles)
     rows = shared(spark, folder, f"run_rows_{tag}", lambda: assemble.build_rows(placed, PACK))
+    lines = _run_lines(spark, folder).filter(F.col(tag).isNotNull()).select("row_id", f"{tag}.*")
     bullets = shared(spark, folder, f"run_bullets_{tag}", lambda: assemble.number_bullets(
-        assemble.union_bullets(tables.item_bullets(spark, folder, placed))))
+        lines, _LINE_PLACE).select("row_id", "pos", "text"))
     return rows, bullets, placed.select("row_id", "bundle_id", "unit_id")
 
 
