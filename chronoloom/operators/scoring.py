@@ -50,16 +50,30 @@ def score_table(counts: DataFrame, scores: dict[str, tuple[str, str, float | Non
         "holds", F.col("must_hold").isNull() | (F.col("value") >= F.col("must_hold")))
 
 
+def _placed(pages: DataFrame, name: str, nowhere: int) -> DataFrame:
+    """The pages of one side, each once, dealt out by page.
+
+    One shuffle serves the distinct rows, the join on the page and the counts.  A page without a
+    number meets no page of the other side, so each side has its own number for it.
+    """
+    page = F.coalesce(F.col("pdf_index"), F.lit(nowhere)).alias("pdf_index")
+    return pages.where(F.col("case_id").isNotNull() & F.col(name).isNotNull()).select(
+        "case_id", name, page).repartition("case_id", "pdf_index").distinct()
+
+
 def overlaps(unit_pages: DataFrame, gold_pages: DataFrame) -> DataFrame:
     """(case_id, gold_id, unit_id, overlap) for every pair that shares a page.
 
-    ``unit_pages``: case_id, unit_id, pdf_index; ``gold_pages``: case_id, gold_id, pdf_index.
+    ``unit_pages``: case_id, unit_id, pdf_index; ``gold_pages``: case_id, gold_id, pdf_index; a
+    page that comes twice counts once.
     """
+    unit_pages = _placed(unit_pages, "unit_id", -(1 << 31))
+    gold_pages = _placed(gold_pages, "gold_id", 1 - (1 << 31))
     shared = unit_pages.join(gold_pages, ["case_id", "pdf_index"]).groupBy(
         "case_id", "gold_id", "unit_id").agg(F.count(F.lit(1)).alias("both"))
     of_unit = unit_pages.groupBy("case_id", "unit_id").agg(F.count(F.lit(1)).alias("n_unit"))
     of_gold = gold_pages.groupBy("case_id", "gold_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    out = shared.join(of_unit, ["case_id", "unit_id"]).join(of_gold, ["case_id", "gold_id"])
+    out = shared.join(of_gold, ["case_id", "gold_id"]).join(of_unit, ["case_id", "unit_id"])
     return out.select("case_id", "gold_id", "unit_id", (
         F.col("both") / (F.col("n_unit") + F.col("n_gold") - F.col("both"))).alias("overlap"))
 
@@ -111,7 +125,8 @@ def match_units(pairs: DataFrame, gold: DataFrame, units: DataFrame, chunk_pairs
     side.  A chunk sees the pairs whose unit no earlier chunk took.  Runs jobs.  Gold units
     without a match are not in the result.
     """
-    open_ = cut(pairs.join(gold, ["case_id", "gold_id"]).join(units, ["case_id", "unit_id"]).where(
+    # ``overlaps`` ends with the units' join, so theirs comes first and needs no shuffle of the pairs.
+    open_ = cut(pairs.join(units, ["case_id", "unit_id"]).join(gold, ["case_id", "gold_id"]).where(
         F.col("gold_ord").isNotNull()))
     open_ = _chunked(open_, chunk_pairs)
     kept = ("case_id", "gold_id", "gold_ord", "unit_id", "overlap")

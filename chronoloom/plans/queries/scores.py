@@ -45,11 +45,13 @@ def _items(spark, folder):
 
 def _key_units(spark, folder):
     items = _items(spark, folder)
-    units = items.groupBy("case_id", "unit_id", F.col("l_returnflag").alias("doc_class")).agg(
-        F.min("day").alias("row_date")).withColumns({
+    # Grouped by the ids alone, which name flag and status, so that joins on them need no other shuffle.
+    units = items.groupBy("case_id", "unit_id").agg(
+        F.min("l_returnflag").alias("doc_class"), F.min("day").alias("row_date")).withColumns({
             "unit_ord": F.when(F.col("doc_class") == "A", 0).when(F.col("doc_class") == "N", 1).otherwise(2),
             "regime": F.lit("cnesst"), "excluded_by": F.lit(None).cast("string")})
-    gold = items.groupBy("case_id", "gold_id", "l_linestatus", "l_orderkey").agg(
+    gold = items.groupBy("case_id", "gold_id").agg(
+        F.min("l_linestatus").alias("l_linestatus"), F.min("l_orderkey").alias("l_orderkey"),
         F.min("l_returnflag").alias("doc_class"), F.min("day").alias("day")).select(
         "case_id", "gold_id", F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("gold_ord"),
         "doc_class", F.date_add("day", (F.col("l_orderkey") % 5).cast("int")).alias("row_date"),
@@ -58,10 +60,10 @@ def _key_units(spark, folder):
 
 
 def _overlaps(spark, folder):
+    """Overlaps of distinct pages.  Matching writes the pairs it tries, so they are not written before."""
     items = _items(spark, folder)
-    return shared(spark, folder, "key_overlaps", lambda: scoring.overlaps(
-        items.select("case_id", "unit_id", "pdf_index").distinct(),
-        items.select("case_id", "gold_id", "pdf_index").distinct()))
+    return scoring.overlaps(
+        items.select("case_id", "unit_id", "pdf_index"), items.select("case_id", "gold_id", "pdf_index"))
 
 
 def _matched(spark, folder):

@@ -293,3 +293,26 @@ def test_fuzzy_match(spark):
                                 ("amélioration", "amelioratoin")], "a string, b string")
     got = [r[0] for r in df.select(scoring.fuzzy_match(F.col("a"), F.col("b"))).collect()]
     assert got == [True, False, True, False, True]
+
+
+def test_overlaps_count_a_page_once_and_read_each_side_once(spark, tmp_path):
+    units = [("c", "u", 1), ("c", "u", 1), ("c", "u", 2), ("c", "u", None), ("c", "v", 3), (None, "w", 1)]
+    gold = [("c", "g", 1), ("c", "g", 2), ("c", "g", None), ("c", "h", 3), ("c", "h", 4), ("c", None, 2)]
+    for name, rows in (("unit", units), ("gold", gold)):
+        spark.createDataFrame(rows, f"case_id string, {name}_id string, pdf_index int").write.parquet(
+            f"{tmp_path}/{name}")
+    u, g = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("unit", "gold"))
+    found = scoring.overlaps(u, g)
+    assert {(r.gold_id, r.unit_id): r.overlap for r in found.collect()} == {("g", "u"): 2 / 4, ("h", "v"): 1 / 2}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scoring.overlaps(u, g)
+        plan.collect()
+        ran = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # Pages of both sides, pairs, and the counts with the pairs dealt out for them; before, pages
+    # were shuffled again for the join and for the counts.
+    own = [x for x in ran.splitlines() if " Exchange " in x and "ReusedExchange" not in x]
+    assert len(own) <= 7 and ran.count("ReusedExchange") >= 2
