@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.ordered import joined_text, running
+from ..session import cut
 from .blocks import is_body
 from .dates import render_date
 from .templates import position
@@ -54,12 +55,14 @@ def subdivide(unit_blocks: DataFrame, long_unit: int = LONG_UNIT,
         .when(F.col("n_parts") == 1, F.lit("structure_too_shallow"))
         .otherwise(F.lit("split_on_headings"))
     )
-    return (
-        blocks.drop("_len").join(facts, "unit_id").join(placed, ["unit_id", *order], "left")
-        .join(parts, "unit_id", "left")
-        .withColumns({"part": F.coalesce("part", F.lit(0)), "reason": reason})
-        .drop("unit_chars", "headed", "n_parts")
-    )
+    # What the lines are told is put together on slim rows, so that their texts are shuffled once.
+    told = blocks.select("unit_id", *order).distinct().join(
+        facts.join(parts, "unit_id", "left"), "unit_id").join(
+        placed, ["unit_id", *order], "left").select(
+        "unit_id", *order, F.coalesce("part", F.lit(0)).alias("part"), reason.alias("reason"))
+    # A line without a place stays too.
+    same = [F.col("l.unit_id") == F.col("t.unit_id"), *[F.col(f"l.{c}").eqNullSafe(F.col(f"t.{c}")) for c in order]]
+    return blocks.drop("_len").alias("l").join(told.alias("t"), same).select("l.*", "part", "reason")
 
 
 def part_table(parted: DataFrame) -> DataFrame:
@@ -132,11 +135,11 @@ def verify_spans(selections: DataFrame, parted: DataFrame,
         .when(start.isNull() | end.isNull(), "offsets_missing")
         .when(~fits, "outside_block").when(F.length("value") < MIN_SPAN, "too_short")
     )
-    graded = checked.withColumn("reason", reason)
-    # Of equal spans the first is kept: one minimum per span instead of a ranking.
-    same = ["unit_id", "part", "block_id", "start", "end_at"]
-    first = graded.filter(F.col("reason").isNull()).groupBy(*same).agg(F.min("seq").alias("first_seq"))
-    out = graded.join(first, same, "left")
+    # Of equal spans the first is kept.  They are answers on one block, which stand together since
+    # the join, so neither texts nor answers are shuffled again.
+    same = Window.partitionBy("unit_id", "part", "block_id", "start", "end_at")
+    out = checked.withColumn("reason", reason).withColumn(
+        "first_seq", F.min(F.when(F.col("reason").isNull(), F.col("seq"))).over(same))
     repeated = F.col("reason").isNull() & (F.col("seq") > F.col("first_seq"))
     return out.withColumn("reason", F.when(repeated, "repeated").otherwise(F.col("reason"))).select(
         "unit_id", "part", "seq", "block_id", "start", F.col("end_at").alias("end"), "field",
@@ -145,7 +148,9 @@ def verify_spans(selections: DataFrame, parted: DataFrame,
 
 def span_records(verified: DataFrame, units: DataFrame, rule: str) -> DataFrame:
     """Kept spans as records of stage 4b, in the order they were selected."""
-    kept = verified.filter(F.col("reason").isNull())
+    # Written once: the numbering reads its input twice, and verifying reads every text.
+    kept = cut(verified.filter(F.col("reason").isNull()).select(
+        "unit_id", "part", "seq", "value", "confidence", "block_id", "start", "end"))
     numbered = running(
         kept, ["unit_id"], ["part", "seq"], chunk=F.col("part"), sums={"nth": F.lit(1)})
     return numbered.join(units.select("unit_id", "case_id"), "unit_id").select(
